@@ -272,12 +272,12 @@ def surname(t):
 
 
 @query("B28_cron_delay",
-       sql="""SELECT event_id, round(CASE WHEN m < 17 THEN m + 60 - 17 ELSE m - 17 END, 1) AS hourly, round(CASE WHEN d < 377 THEN d + 1440 - 377 ELSE d - 377 END, 1) AS daily
+       sql="""SELECT event_id, round(CASE WHEN m < 17 THEN m + 60 - 17 ELSE m - 17 END, 4) AS hourly, round(CASE WHEN d < 377 THEN d + 1440 - 377 ELSE d - 377 END, 4) AS daily
 FROM (SELECT event_id, minute(ts) + floor(second(ts)) / 60.0 AS m, hour(ts) * 60 + minute(ts) + floor(second(ts)) / 60.0 AS d FROM events)""")
 def cron_delay(t):
     ts = F.col("ts")
     return t.read("events").select(
-        "event_id", F.round(fn.cron_delay_minutes(ts, 17), 1).alias("hourly"), F.round(fn.cron_delay_minutes(ts, 17, 6), 1).alias("daily")
+        "event_id", F.round(fn.cron_delay_minutes(ts, 17), 4).alias("hourly"), F.round(fn.cron_delay_minutes(ts, 17, 6), 4).alias("daily")
     )
 
 
