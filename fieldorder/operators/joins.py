@@ -194,3 +194,25 @@ def future_rows(df: DataFrame, remaining: DataFrame, null_columns: Sequence[str]
     types = dict(df.dtypes)
     empty = [F.lit(None).cast(types[c]).alias(c) for c in null_columns]
     return lineup.crossJoin(F.broadcast(remaining)).select("year", "round", "venue", "entrant", "team", *empty)
+
+
+def fuzzy_name(key: Column, names: Sequence[str], least: float = 0.72) -> Column:
+    """The listed name equal to the key, else the most similar one (edit distance) if close enough.
+
+    The list is a fixed dictionary, so the comparison is an expression on the row.
+    """
+
+    def scored(n: Column) -> Column:
+        far = F.levenshtein(key, n) / F.greatest(F.length(key), F.length(n))
+        return F.struct(far.alias("far"), n.alias("name"))
+
+    best = F.array_min(F.transform(F.array(*[F.lit(n) for n in names]), scored))
+    return F.when(key.isin(*names), key).when(1 - best["far"] >= least, best["name"])
+
+
+def substring_alias(key: Column, aliases: Sequence[str]) -> Column:
+    """The alias equal to the key, else the first in list order contained in it or containing it."""
+    found = F.lit(None).cast("string")
+    for a in reversed(list(aliases)):
+        found = F.when(F.contains(key, F.lit(a)) | F.contains(F.lit(a), key), F.lit(a)).otherwise(found)
+    return F.when(key.isin(*aliases), key).otherwise(found)

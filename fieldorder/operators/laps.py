@@ -18,7 +18,7 @@ from fieldorder.operators.grouping import (
 
 MIN_LAPS = 5
 #: Fixed value: laps of a run that count as long in a live session.
-LIVE_LONG_RUN = 4
+LIVE_LONG_RUN = 5
 #: Prior compound offsets in % against MEDIUM, and their weight in runs.
 COMPOUND_PRIOR = {"SOFT": -0.3, "HARD": 0.2}
 PRIOR_WEIGHT = 3.0

@@ -105,8 +105,8 @@ def run_pace(t):
 OFFSETS = f"""{PACES}, bc AS (SELECT round, session, entrant, compound, min(pace_s) AS pace_s, (entrant % 13) / 5.0 AS car FROM rp GROUP BY ALL),
 o AS (SELECT round, session, 100 * ln(pace_s) AS y, car AS c, (compound = 'SOFT')::INT::DOUBLE AS s, (compound = 'HARD')::INT::DOUBLE AS h FROM bc WHERE compound <> 'UNKNOWN'),
 z AS (SELECT round, session, y - avg(y) OVER w AS y, c - avg(c) OVER w AS c, s - avg(s) OVER w AS s, h - avg(h) OVER w AS h FROM o WINDOW w AS (PARTITION BY round, session)),
-b AS (SELECT round, session, coalesce(sum(c * y) / nullif(sum(c * c), 0), 0) AS by, coalesce(sum(c * s) / nullif(sum(c * c), 0), 0) AS bs, coalesce(sum(c * h) / nullif(sum(c * c), 0), 0) AS bh FROM z GROUP BY 1, 2),
-r AS (SELECT round, session, y - by * c AS y, s - bs * c AS s, h - bh * c AS h FROM z JOIN b USING (round, session)),
+b AS (SELECT round, session, coalesce(sum(c * y) / nullif(sum(c * c), 0), 0) AS byy, coalesce(sum(c * s) / nullif(sum(c * c), 0), 0) AS bs, coalesce(sum(c * h) / nullif(sum(c * c), 0), 0) AS bh FROM z GROUP BY 1, 2),
+r AS (SELECT round, session, y - byy * c AS y, s - bs * c AS s, h - bh * c AS h FROM z JOIN b USING (round, session)),
 m AS (SELECT round, session, sum(s * s) + 3 AS a, sum(s * h) AS k, sum(h * h) + 3 AS d, sum(s * y) + 3 * -0.3 AS p, sum(h * y) + 3 * 0.2 AS q FROM r GROUP BY 1, 2)"""
 
 
@@ -145,13 +145,13 @@ def practice(t):
 METRICS = f"""{LAPS}, f1 AS (SELECT *, median(lap_s) OVER (PARTITION BY round, session, entrant) AS md FROM lc WHERE lap_s BETWEEN 50 AND 150),
 f2 AS (SELECT * FROM f1 WHERE abs(lap_s - md) <= 12), f3 AS (SELECT *, min(lap_s) OVER (PARTITION BY round, session) AS sb, median(lap_s) OVER (PARTITION BY round, session) AS sm,
   count(*) OVER (PARTITION BY round, session, entrant, stint_number) AS n FROM f2),
-me AS (SELECT round, session, entrant, count(*) AS n_laps, min(lap_s) - max(sb) AS best_gap_s, avg(lap_s) FILTER (n >= 4) - max(sm) AS long_run_delta_s FROM f3 GROUP BY 1, 2, 3)"""
+me AS (SELECT round, session, entrant, count(*) AS n_laps, min(lap_s) - max(sb) AS best_gap_s, avg(lap_s) FILTER (n >= 5) - max(sm) AS long_run_delta_s FROM f3 GROUP BY 1, 2, 3)"""
 
 
-@query("F11_session_metrics", "laps", sql=f"{METRICS} SELECT round, session, entrant, n_laps, round(best_gap_s, 6) AS best_gap_s, round(long_run_delta_s, 6) AS long_run_delta_s FROM me")
+@query("F11_session_metrics", "laps", sql=f"{METRICS} SELECT round, session, entrant, n_laps, round(best_gap_s, 8) AS best_gap_s, round(long_run_delta_s, 8) AS long_run_delta_s FROM me")
 def metrics(t):
     d = lp.session_metrics(run_laps(t), SESSION, t.hot_events)
-    return rounded(d, [*OWN, "n_laps"], "best_gap_s", "long_run_delta_s")
+    return d.select(*OWN, "n_laps", *[F.round(c, 8).alias(c) for c in ("best_gap_s", "long_run_delta_s")])
 
 
 @query("F12_sessions_side_by_side", "laps",
