@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldorder.operators.features import CONTEST, Sizes
-from fieldorder.operators.grouping import is_hot, join_groups, with_prefix, with_rank, with_totals
+from fieldorder.operators.grouping import join_groups, with_prefix, with_rank, with_totals
 
 #: A lookup table is broadcast up to this many rows.
 LOOKUP_ROWS = 200_000
@@ -53,64 +53,93 @@ def interval_join(
     return p.join(right, cond, how).drop("_b", *[f"_r_{k}" for k in [*keys, "_b"]])
 
 
-def asof_backward(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, end: str, value: Sequence[str],
-    tie: str, within: int, row: Sequence[str],
+def asof(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, value: Sequence[str], tie: str,
+    row: Sequence[str], hot: bool | None, forward: bool = False,
 ) -> DataFrame:
-    """For each left row the latest right row with end <= at and end > at - within (same units).
+    """The last right row at or before each left row (forward: the first at or after), per key.
 
-    The right side lists itself under its own and the next bucket of length ``within``, so an
-    equi-join on (key, bucket) finds every candidate; the pick is one combined aggregate.
+    Both sides go through one ordered running count: a left row's count of right rows so far is the
+    number of its match, which is then an equality join. No pair of rows is ever compared, and a
+    hot key is split by the running count. Left rows without a match get nulls.
     """
-    b = F.floor(F.col(end) / within)
-    r = right.select(*keys, end, tie, *value).withColumn("_b", F.explode(F.array(b, b + 1)))
-    lf = left.withColumn("_b", F.floor(F.col(at) / within))
-    hit = lf.select(*row, *keys, at, "_b").join(r, [*keys, "_b"])
-    hit = hit.where((F.col(end) <= F.col(at)) & (F.col(end) > F.col(at) - within))
-    best = hit.groupBy(*row).agg(F.max_by(F.struct(end, *value), F.struct(end, tie)).alias("_m"))
-    return left.join(best, list(row), "left").select(*left.columns, "_m.*")
-
-
-def latest_before(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, end: str, value: Sequence[str], tie: str,
-    hot: bool | None,
+    turn = -1 if forward else 1
+    marks = right.where(F.col(when).isNotNull()).select(
+        *keys, (F.col(when) * turn).alias("_t"), F.lit(0).alias("_side"), (F.col(tie).cast("bigint") * turn).alias("_tie"),
+        F.col(when).alias("_when"), F.struct(F.col(when), *value).alias("_m"), F.lit(None).cast("string").alias("_row"),
+    )
+    ident = F.to_json(F.struct(*row))
+    asks = left.select(
+        *keys, (F.col(at) * turn).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_tie"),
+        F.lit(None).cast(dict(right.dtypes)[when]).alias("_when"), F.lit(None).cast(marks.schema["_m"].dataType).alias("_m"),
+        ident.alias("_row"),
+    )
+    u = marks.unionByName(asks).withColumn("_one", F.lit(0))
+    mark = F.when(F.col("_side") == 0, 1).otherwise(0)
+    u = with_prefix(u, [*keys, "_one"], ["_t", "_side", "_tie", "_row"], {"_k": mark}, hot, inclusive=True)
+    numbered = u.where("_side = 0").select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_k").alias("_nth"), "_m")
+    asked = u.where("_side = 1").select(*keys, "_k", "_row").alias("a")
+    cond = F.col("_k") == F.col("_nth")
+    for k in keys:
+        cond = cond & (F.col(f"a.{k}") == F.col(f"_r_{k}"))
+    found = asked.join(numbered, cond, "left").select("_row", F.col("_m").alias("match"))
+    return left.withColumn("_row", ident).join(found, "_row", "left").drop("_row")
+
+
+def asof_backward(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, value: Sequence[str],
+    tie: str, within: int, row: Sequence[str], hot: bool | None = None,
 ) -> DataFrame:
-    """Unbounded as-of: both sides in one time-ordered stream, last right value carried forward."""
-    side = F.struct(F.col(end).alias("end"), *value)
-    a = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_tie"), F.col(at).alias("_t"))
-    b = right.select(*keys, side.alias("_m"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.col(end).alias("_t"))
-    u = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    if is_hot(u, keys, hot):
-        raise ValueError("a key is too large for one carried-forward scan; use asof_backward with a reach")
-    u = u.withColumn("_m", F.last("_m", ignorenulls=True).over(w)).where("_side = 1")
-    return u.select(*left.columns, "_m.*")
+    """Columns of the latest right row with at - within < when <= at."""
+    d = asof(left, right, keys, at, when, value, tie, row, hot)
+    near = F.col(f"match.{when}") > F.col(at) - within
+    return d.select(*left.columns, *[F.when(near, F.col(f"match.{c}")).alias(c) for c in (when, *value)])
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, row: Sequence[str]
+    left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, row: Sequence[str], hot: bool | None = None
 ) -> DataFrame:
     """The right row closest in time, at most ``within`` away (ties: smaller ``pick``)."""
-    b = F.floor(F.col(when) / within)
-    r = right.select(when, pick).withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
-    lf = left.withColumn("_b", F.floor(F.col(at) / within))
-    gap = F.abs(F.col(at) - F.col(when))
-    hit = lf.select(*row, at, "_b").join(r, "_b").where(gap <= within)
-    best = hit.groupBy(*row).agg(F.min_by(F.col(pick), F.struct(gap, F.col(pick))).alias(pick))
-    return left.join(best, list(row), "left")
+    back = asof(left, right, [], at, when, [pick], pick, row, hot).withColumnRenamed("match", "_b")
+    both = asof(back, right, [], at, when, [pick], pick, row, hot, forward=True).withColumnRenamed("match", "_f")
+
+    def offer(m: str) -> Column:
+        gap = F.abs(F.col(f"{m}.{when}") - F.col(at))
+        return F.when(gap <= within, F.struct(gap.alias("gap"), F.col(f"{m}.{pick}").alias("pick")))
+
+    best = F.least(offer("_b"), offer("_f"))
+    return both.select(*left.columns, best["pick"].alias(pick))
 
 
 def first_after(
-    left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, row: Sequence[str]
+    left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, row: Sequence[str], hot: bool | None = None
 ) -> DataFrame:
     """The first right row with 0 <= when - at <= within."""
-    b = F.floor(F.col(when) / within)
-    r = right.select(when, pick).withColumn("_b", F.explode(F.array(b - 1, b)))
-    lf = left.withColumn("_b", F.floor(F.col(at) / within))
-    hit = lf.select(*row, at, "_b").join(r, "_b")
-    hit = hit.where((F.col(when) >= F.col(at)) & (F.col(when) - F.col(at) <= within))
-    best = hit.groupBy(*row).agg(F.min_by(F.col(pick), F.struct(when, pick)).alias(pick))
-    return left.join(best, list(row), "left")
+    d = asof(left, right, [], at, when, [pick], pick, row, hot, forward=True)
+    near = F.col(f"match.{when}") - F.col(at) <= within
+    return d.select(*left.columns, F.when(near, F.col(f"match.{pick}")).alias(pick))
+
+
+def covering_span(
+    points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, value: Sequence[str],
+    tie: str, width: int, row: Sequence[str], hot: bool | None = None,
+) -> DataFrame:
+    """The span of the same key that covers ``at``; of several the one that starts last.
+
+    The last span to start is found by the as-of join and nearly always is the answer. Only points
+    it does not reach (a longer, earlier span may) look through the bucketed range join.
+    """
+    d = asof(points, spans, keys, at, start, [end, *value], tie, row, hot)
+    sure = d.where(F.col("match").isNotNull() & (F.col(f"match.{end}") >= F.col(at)))
+    left = d.where(F.col("match").isNotNull() & (F.col(f"match.{end}") < F.col(at))).select(*points.columns)
+    none = d.where(F.col("match").isNull()).select(*points.columns, *[F.lit(None).cast(t).alias(c) for c, t in spans.select(*value, start).dtypes])
+    cols = [*value, start]
+    first = sure.select(*points.columns, *[F.col(f"match.{c}").alias(c) for c in cols])
+    spans_ = spans.select(*keys, start, end, *value, *([tie] if tie not in value else []))
+    wide = interval_join(left, spans_, keys, at, start, end, width)
+    rest = wide.groupBy(*points.columns).agg(F.max_by(F.struct(*cols), F.struct(start, tie)).alias("_m"))
+    rest = rest.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
+    return first.unionByName(rest).unionByName(none)
 
 
 def head_to_head(df: DataFrame, s: Sizes) -> DataFrame:

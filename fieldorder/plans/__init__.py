@@ -4,7 +4,7 @@ from importlib import import_module
 
 from fieldorder.plans.registry import QUERIES, Query
 
-FAMILIES = ["history", "field", "probability", "scoring", "scalars", "ingest", "laps", "joins", "ledger"]
+FAMILIES = ["history", "field", "probability", "scoring", "scalars", "ingest", "laps", "joins", "ledger", "ratings"]
 
 
 def load_queries() -> dict[str, Query]:

@@ -76,11 +76,9 @@ def range_join(t):
         (day("o_orderdate") + F.col("o_orderkey") % 20).alias("d1"), (F.col("o_orderkey") % 5).alias("age0"),
     )
     points = t.read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).alias("k"), day("l_shipdate").alias("d"))
-    d = jn.interval_join(points, spans, ["k"], "d", "d0", "d1", 20)
-    later = F.max_by(F.struct("o_orderkey", "age0", "d0", "d"), F.struct("d0", "o_orderkey")).alias("m")
-    g = d.groupBy("l_orderkey", "l_linenumber").agg(later)
-    return g.select("l_orderkey", "l_linenumber", F.col("m.o_orderkey").alias("span"),
-                    (F.col("m.age0") + F.col("m.d") - F.col("m.d0")).cast("bigint").alias("age"))
+    d = jn.covering_span(points, spans, ["k"], "d", "d0", "d1", ["o_orderkey", "age0"], "o_orderkey", 20,
+                         ["l_orderkey", "l_linenumber"], hot=t.hot_lines)
+    return d.select("l_orderkey", "l_linenumber", F.col("o_orderkey").alias("span"), (F.col("age0") + F.col("d") - F.col("d0")).cast("bigint").alias("age"))
 
 
 def race_times(t):
@@ -101,7 +99,7 @@ def event_hours(t):
        sql=RACES + """, e AS (SELECT event_id, epoch_us(ts) // 3600000000 AS h FROM events)
 SELECT e.event_id, arg_min(rt.round, race_h) FILTER (rt.round IS NOT NULL) AS round FROM e LEFT JOIN rt ON race_h - h BETWEEN 0 AND 96 GROUP BY 1""")
 def first_after(t):
-    d = jn.first_after(event_hours(t), race_times(t), "h", "race_h", "round", 96, ["event_id"])
+    d = jn.first_after(event_hours(t), race_times(t), "h", "race_h", "round", 96, ["event_id"], t.hot_events)
     return d.select("event_id", "round")
 
 
@@ -110,7 +108,7 @@ def first_after(t):
 j AS (SELECT e.event_id, rt.round, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(race_h - h), rt.round) AS k FROM e LEFT JOIN rt ON abs(race_h - h) <= 36)
 SELECT event_id, round FROM j WHERE k = 1""")
 def nearest(t):
-    d = jn.nearest(event_hours(t), race_times(t), "h", "race_h", "round", 36, ["event_id"])
+    d = jn.nearest(event_hours(t), race_times(t), "h", "race_h", "round", 36, ["event_id"], t.hot_events)
     return d.select("event_id", "round")
 
 
@@ -122,7 +120,7 @@ def as_of(t):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     right = t.quotes.where("event_id % 2 = 0").select("ticker", us.alias("quote_us"), "event_id", "bid_millis", "last_millis")
     left = t.tickets.select("ticket_id", F.col("bettor").alias("ticker"), us.alias("a"))
-    d = jn.asof_backward(left, right, ["ticker"], "a", "quote_us", ["bid_millis", "last_millis"], "event_id", 345_600_000_000, ["ticket_id"])
+    d = jn.asof_backward(left, right, ["ticker"], "a", "quote_us", ["bid_millis", "last_millis"], "event_id", 345_600_000_000, ["ticket_id"], t.hot_events)
     return d.select("ticket_id", "quote_us", "bid_millis", "last_millis")
 
 

@@ -169,9 +169,9 @@ def next_last(t):
 ALIASES = {"one": ["whou", "chtz"], "two": ["getz"], "three": ["tion", "zzzz"]}
 ALIAS_SQL = "(VALUES ('one', 'whou'), ('one', 'chtz'), ('two', 'getz'), ('three', 'tion'), ('three', 'zzzz')) a(entity, alias)"
 #: Texts: documents as posts, turns of the conversation with the same number as comments.
-TEXTS = f"""tx AS (SELECT doc_id, text, n_chars % 200 AS score, false AS is_comment FROM documents UNION ALL
-  SELECT conv_id, c.text, n_chars % 200, true FROM conversations c JOIN documents ON conv_id = doc_id),
-mn AS (SELECT DISTINCT doc_id, text, score, is_comment, entity FROM tx JOIN {ALIAS_SQL} ON contains(lower(text), alias))"""
+TEXTS = f"""tx AS (SELECT doc_id, -1 AS turn, text, n_chars % 200 AS score, false AS is_comment FROM documents UNION ALL
+  SELECT conv_id, turn, c.text, n_chars % 200, true FROM conversations c JOIN documents ON conv_id = doc_id),
+mn AS (SELECT DISTINCT doc_id, turn, score, is_comment, entity FROM tx JOIN {ALIAS_SQL} ON contains(lower(text), alias))"""
 
 
 def texts(t):
@@ -182,7 +182,7 @@ def texts(t):
 
 @query("K01_mentions", sql=TEXTS + " SELECT entity, is_comment, count(*) AS n, count(DISTINCT doc_id) AS n_posts FROM mn GROUP BY 1, 2")
 def mentions(t):
-    d = mt.mentions(texts(t).distinct(), F.col("text"), ALIASES)
+    d = mt.mentions(texts(t), F.col("text"), ALIASES).drop("text")
     return d.groupBy("entity", "is_comment").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_posts"))
 
 
@@ -190,7 +190,7 @@ def mentions(t):
        sql=TEXTS + """, w AS (SELECT entity, quality AS q, ln(1 + greatest(score, 1)) * CASE WHEN is_comment THEN 0.5 ELSE 1 END AS w FROM mn LEFT JOIN labels USING (doc_id))
 SELECT entity, round(sum(q * w) / nullif(sum(CASE WHEN q IS NOT NULL THEN w END), 0), 6) AS score, count(*) AS mention_count FROM w GROUP BY 1""")
 def weighted(t):
-    d = mt.mentions(texts(t).distinct(), F.col("text"), ALIASES).drop("text")
+    d = mt.mentions(texts(t), F.col("text"), ALIASES).drop("text")
     d = d.join(t.read("labels"), "doc_id", "left")
     g = mt.weighted_score(d, ["entity"], F.col("quality"), mt.post_weight(F.col("score"), F.col("is_comment")))
     return g.withColumn("score", F.round("score", 6))

@@ -85,6 +85,11 @@ class Tables:
         """Any group of event rows is at most the whole event table."""
         return self._bound("events")
 
+    @cached_property
+    def hot_lines(self) -> bool:
+        """Any group of order lines is at most the whole table."""
+        return self._bound("lineitem")
+
     @cached_property
     def hot_documents(self) -> bool:
         return self._bound("documents")
