@@ -4,7 +4,9 @@ from importlib import import_module
 
 from fieldorder.plans.registry import QUERIES, Query
 
-FAMILIES = ["history", "field", "probability", "scoring", "scalars", "ingest", "laps", "joins", "ledger", "ratings"]
+FAMILIES = [
+    "history", "field", "probability", "scoring", "scalars", "ingest", "laps", "joins", "ledger", "ratings", "matrix",
+]
 
 
 def load_queries() -> dict[str, Query]:

@@ -66,7 +66,7 @@ def anti(t):
 
 @query("C08_range_join",
        sql="""s AS (SELECT o_orderkey, o_custkey % 500 AS k, o_orderdate::DATE - DATE '1990-01-01' AS d0, o_orderdate::DATE - DATE '1990-01-01' + o_orderkey % 20 AS d1, o_orderkey % 5 AS age0 FROM orders),
-p AS (SELECT l_orderkey, l_linenumber, l_partkey % 500 AS k, l_shipdate::DATE - DATE '1990-01-01' AS d FROM lineitem)
+p AS (SELECT l_orderkey, l_linenumber, max(l_partkey) % 500 AS k, max(l_shipdate)::DATE - DATE '1990-01-01' AS d FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, o_orderkey AS span, CAST(age0 + d - d0 AS BIGINT) AS age FROM p LEFT JOIN s ON p.k = s.k AND d BETWEEN d0 AND d1
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY d0 DESC NULLS LAST, o_orderkey DESC) = 1""")
 def range_join(t):
@@ -75,7 +75,9 @@ def range_join(t):
         "o_orderkey", (F.col("o_custkey") % 500).alias("k"), day("o_orderdate").alias("d0"),
         (day("o_orderdate") + F.col("o_orderkey") % 20).alias("d1"), (F.col("o_orderkey") % 5).alias("age0"),
     )
-    points = t.read("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).alias("k"), day("l_shipdate").alias("d"))
+    points = t.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        (F.max("l_partkey") % 500).alias("k"), F.max(day("l_shipdate")).alias("d")
+    )
     d = jn.covering_span(points, spans, ["k"], "d", "d0", "d1", ["o_orderkey", "age0"], "o_orderkey", 20,
                          ["l_orderkey", "l_linenumber"], hot=t.hot_lines)
     return d.select("l_orderkey", "l_linenumber", F.col("o_orderkey").alias("span"), (F.col("age0") + F.col("d") - F.col("d0")).cast("bigint").alias("age"))
