@@ -69,7 +69,7 @@ def feature_matrix(
     pace = ft.car_pace_delta(d, s)
     for per in (ft.team_points(base, s), ft.team_reliability(base, s), ft.team_form(base, s), pace):
         d = join_groups(d, per, ft.TEAM_CONTEST)
-    d = ft.grid_conversion(d, s)
+    d = d.join(_side(ft.grid_conversion(base, s), "circuit_grid_conversion"), KEY, "left")
     d = join_groups(d, ft.overtaking_index(base, s), ["venue", "year", "round"])
     d = stage(d)
     # weather, sprint, practice
@@ -105,21 +105,32 @@ def feature_matrix(
     return d
 
 
-def with_domain(d: DataFrame, s: ft.Sizes) -> DataFrame:
-    """Context features beyond the base list."""
-    d = ft.gain_ewm(ft.slot_gain(d), s)
-    d = join_groups(d, ft.team_gain_ewm(d, s), ft.TEAM_CONTEST)
-    d = ft.teammate_quali_ewm(ft.teammate_finish_ewm(d, s), s)
-    d = jn.traffic(d, F.col("driver_elo"), "entrant", s)
-    d = fd.elo_rank_gap(d, F.col("driver_elo"), s)
-    d = d.withColumn("venue_type", venue_type(F.col("venue_key")))
-    d = join_groups(d, ft.venue_type_form(d, s), ft.TEAM_CONTEST)
-    per = d.groupBy(*ft.TEAM_CONTEST).agg(F.avg("car_pace_delta_pct").alias("car_pace_delta_pct"))
-    d = join_groups(d, ft.car_pace_trend(per, s), ft.TEAM_CONTEST)
-    d = ft.era_progress(d)
-    prior = ft.quali_vs_prior(d, s)
-    d = d.join(prior.select(*KEY, "quali_vs_prior"), KEY, "left")
-    return d.join(ft.quali_stats(d, s), ["year", "round"], "left")
+def _side(d: DataFrame, *columns: str) -> DataFrame:
+    return d.select(*KEY, *columns)
+
+
+def with_domain(c: DataFrame, s: ft.Sizes) -> DataFrame:
+    """Context features beyond the base list.
+
+    Every block is computed from the same (materialised) frame and joined back by key, so the plan
+    grows with the number of blocks and not with their nesting.
+    """
+    gain = ft.slot_gain(c)
+    per_pace = c.groupBy(*ft.TEAM_CONTEST).agg(F.avg("car_pace_delta_pct").alias("car_pace_delta_pct"))
+    typed = c.withColumn("venue_type", venue_type(F.col("venue_key")))
+    by_entrant = [
+        _side(ft.gain_ewm(gain, s), "driver_gain_ewm"),
+        _side(ft.teammate_quali_ewm(ft.teammate_finish_ewm(c, s), s), "teammate_finish_delta_ewm", "teammate_quali_delta_ewm"),
+        _side(jn.traffic(c, F.col("driver_elo"), "entrant", s), "stronger_behind_n", "weaker_ahead_n"),
+        _side(ft.quali_vs_prior(c, s), "quali_vs_prior"),
+    ]
+    by_team = [ft.team_gain_ewm(gain, s), ft.venue_type_form(typed, s), ft.car_pace_trend(per_pace, s)]
+    d = ft.era_progress(fd.elo_rank_gap(typed, F.col("driver_elo"), s))
+    for side in by_entrant:
+        d = d.join(side, KEY, "left")
+    for side in by_team:
+        d = d.join(side, ft.TEAM_CONTEST, "left")
+    return d.join(ft.quali_stats(c, s), ["year", "round"], "left")
 
 
 def with_future(results: DataFrame, remaining: DataFrame) -> DataFrame:
