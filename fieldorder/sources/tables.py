@@ -36,6 +36,9 @@ SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
+#: A keyed side is broadcast up to this many counted rows.
+BROADCAST_ROWS = 200_000
+
 _ROWS: dict[tuple[str, str, str], int] = {}
 
 
@@ -128,6 +131,8 @@ class Tables:
             .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select("s_suppkey", F.col("n_name").alias("team"), F.col("r_name").alias("league"))
         )
+        if self.rows("supplier") <= BROADCAST_ROWS:  # counted, so the wide side need not be shuffled
+            teams = F.broadcast(teams)
         place, dnf = F.col("place"), F.col("dnf")
         status = (
             F.when(dnf == 1, "Engine")
