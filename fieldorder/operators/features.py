@@ -185,19 +185,23 @@ def grid_conversion(df: DataFrame, s: Sizes) -> DataFrame:
 def rank_correlation(
     df: DataFrame, keys: Sequence[str], a: Column, b: Column, out: str, least: int, hot: bool | None
 ) -> DataFrame:
-    """Spearman: Pearson correlation of average ranks, per group; null below ``least`` rows."""
-    d = df.select(*keys, a.alias("_a"), b.alias("_b")).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+    """Spearman: Pearson correlation of average ranks over rows with both values.
+
+    Every group of df gives a row; the value is null below ``least`` rows.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    d = df.select(*keys, F.when(both, a).alias("_a"), F.when(both, b).alias("_b"))
     d = with_rank(d, keys, F.col("_a"), "_ra", "average", hot=hot)
     d = with_rank(d, keys, F.col("_b"), "_rb", "average", hot=hot)
-    g = d.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("_c"), F.count(F.lit(1)).alias("_n"))
+    g = d.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("_c"), F.count("_a").alias("_n"))
     return g.select(*keys, F.when((F.col("_n") >= least) & ~F.isnan("_c"), F.col("_c")).alias(out))
 
 
 def contest_rank_correlation(df: DataFrame, s: Sizes) -> DataFrame:
-    ok = df.where((F.col("grid_position") > 0) & classified())
-    keys = ["venue", *CONTEST]
-    rho = rank_correlation(ok, keys, F.col("grid_position"), F.col("finish_position"), "rho", 5, s.contest)
-    return df.select(*keys).distinct().join(rho, keys, "left")
+    """Grid against finish per contest, classified rows with a grid slot only."""
+    ok = (F.col("grid_position") > 0) & classified()
+    grid = F.when(ok, F.col("grid_position"))
+    return rank_correlation(df, ["venue", *CONTEST], grid, F.col("finish_position"), "rho", 5, s.contest)
 
 
 def overtaking_index(df: DataFrame, s: Sizes, window: int = 8) -> DataFrame:

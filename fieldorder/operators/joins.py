@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldorder.operators.features import CONTEST, Sizes
-from fieldorder.operators.grouping import join_groups, with_prefix, with_rank, with_totals
+from fieldorder.operators.grouping import is_hot, join_groups, with_prefix, with_rank, with_totals
 
 #: A lookup table is broadcast up to this many rows.
 LOOKUP_ROWS = 200_000
@@ -126,20 +126,24 @@ def covering_span(
 ) -> DataFrame:
     """The span of the same key that covers ``at``; of several the one that starts last.
 
-    The last span to start is found by the as-of join and nearly always is the answer. Only points
-    it does not reach (a longer, earlier span may) look through the bucketed range join.
+    With small keys: the bucketed range join and one aggregate. With a large key the last span to
+    start is found by the as-of join first and nearly always is the answer; only points it does not
+    reach (a longer, earlier span may) go through the range join.
     """
-    d = asof(points, spans, keys, at, start, [end, *value], tie, row, hot)
-    sure = d.where(F.col("match").isNotNull() & (F.col(f"match.{end}") >= F.col(at)))
-    left = d.where(F.col("match").isNotNull() & (F.col(f"match.{end}") < F.col(at))).select(*points.columns)
-    none = d.where(F.col("match").isNull()).select(*points.columns, *[F.lit(None).cast(t).alias(c) for c, t in spans.select(*value, start).dtypes])
     cols = [*value, start]
-    first = sure.select(*points.columns, *[F.col(f"match.{c}").alias(c) for c in cols])
-    spans_ = spans.select(*keys, start, end, *value, *([tie] if tie not in value else []))
-    wide = interval_join(left, spans_, keys, at, start, end, width)
-    rest = wide.groupBy(*points.columns).agg(F.max_by(F.struct(*cols), F.struct(start, tie)).alias("_m"))
-    rest = rest.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
-    return first.unionByName(rest).unionByName(none)
+    listed = spans.select(*dict.fromkeys([*keys, start, end, *value, tie]))
+
+    def by_range(p: DataFrame) -> DataFrame:
+        wide = interval_join(p, listed, keys, at, start, end, width)
+        best = wide.groupBy(*points.columns).agg(F.max_by(F.struct(*cols), F.struct(start, tie)).alias("_m"))
+        return best.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
+
+    if not is_hot(points, keys, hot):
+        return by_range(points)
+    d = asof(points, spans, keys, at, start, [end, *value], tie, row, hot)
+    sure = F.col("match").isNull() | (F.col(f"match.{end}") >= F.col(at))
+    first = d.where(sure).select(*points.columns, *[F.col(f"match.{c}").alias(c) for c in cols])
+    return first.unionByName(by_range(d.where(~sure).select(*points.columns)))
 
 
 def head_to_head(df: DataFrame, s: Sizes) -> DataFrame:

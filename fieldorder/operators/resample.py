@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldorder.operators.grouping import with_index
+from fieldorder.operators.grouping import checkpointed, with_index
 from fieldorder.operators.probability import hash_uniform
 
 
@@ -16,7 +16,8 @@ def resampled(
 ) -> DataFrame:
     """(replicate, unit columns): every replicate draws as many units as there are, with replacement.
 
-    Units are numbered once; draw i of replicate b is unit floor(u(b, i) * n) + 1.
+    Units are numbered once; draw i of replicate b is unit floor(u(b, i) * n) + 1. Units should be
+    materialised: they are read for the count, the draws and the values.
     """
     n = units.agg(F.count(F.lit(1)).alias("_n"))
     numbered = with_index(units.withColumn("_all", F.lit(0)), ["_all"], order, "_i", hot).drop("_all")
@@ -41,7 +42,7 @@ def interval(draws: DataFrame, statistic: Column, point: DataFrame) -> DataFrame
 
 def paired(df: DataFrame, a: str, b: str, order: Sequence[str], replicates: int = 2000, hot=None) -> DataFrame:
     """Mean of a - b over rows where both are known, with its 95 % interval."""
-    d = df.select(*order, (F.col(a) - F.col(b)).alias("_d")).where(F.col("_d").isNotNull())
+    d = checkpointed(df.select(*order, (F.col(a) - F.col(b)).alias("_d")).where(F.col("_d").isNotNull()))
     point = d.agg(F.avg("_d").alias("mean"))
     return interval(resampled(d, order, replicates, hot), F.avg("_d"), point)
 
@@ -50,6 +51,6 @@ def clustered(
     df: DataFrame, cluster: Sequence[str], x: Column, replicates: int = 2000, hot=None
 ) -> DataFrame:
     """Mean of x over rows when whole clusters are resampled (one total per cluster is enough)."""
-    per = df.groupBy(*cluster).agg(F.sum(x).alias("_s"), F.count(x).alias("_c"))
+    per = checkpointed(df.groupBy(*cluster).agg(F.sum(x).alias("_s"), F.count(x).alias("_c")))
     point = per.agg((F.sum("_s") / F.sum("_c")).alias("mean"))
     return interval(resampled(per, cluster, replicates, hot), F.sum("_s") / F.sum("_c"), point)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldorder.operators.grouping import with_index, with_totals
+from fieldorder.operators.grouping import checkpointed, with_index, with_totals
 
 RACE = ["year", "round"]
 
@@ -223,11 +223,11 @@ def promotion(df: DataFrame, candidate: str, current: str, grid: str, order: Seq
     """
     from fieldorder.operators.resample import resampled
 
-    d = df.select(
-        *order, (F.col(candidate) - F.col(current)).alias("_c"), (F.col(candidate) - F.col(grid)).alias("_g")
+    d = checkpointed(
+        df.select(*order, (F.col(candidate) - F.col(current)).alias("_c"), (F.col(candidate) - F.col(grid)).alias("_g"))
     )
     point = d.agg(F.count(F.lit(1)).alias("n"), F.avg("_c").alias("mc"), F.avg("_g").alias("mg"))
-    per = resampled(d, order, replicates, hot=False).groupBy("replicate").agg(F.avg("_c").alias("vc"), F.avg("_g").alias("vg"))
+    per = resampled(d, order, replicates).groupBy("replicate").agg(F.avg("_c").alias("vc"), F.avg("_g").alias("vg"))
     ends = per.agg(F.percentile("vc", F.lit(0.025)).alias("lc"), F.percentile("vg", F.lit(0.025)).alias("lg"))
     out = point.crossJoin(F.broadcast(ends))
     cur = F.struct(F.col("mc").alias("mean"), F.col("lc").alias("low"))

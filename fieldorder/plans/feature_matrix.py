@@ -135,8 +135,8 @@ def with_domain(c: DataFrame, s: ft.Sizes) -> DataFrame:
 
 def with_future(results: DataFrame, remaining: DataFrame) -> DataFrame:
     """Results plus empty rows for contests to come (year, round, venue_key)."""
-    cols = [c for c in results.columns if c not in ("year", "round", "venue_key", "entrant", "team", "league")]
+    cols = [c for c in results.columns if c not in ("year", "round", "venue", "venue_key", "entrant", "team", "league")]
     lineup = results.select("entrant", "league").distinct()
     f = jn.future_rows(results, remaining.withColumnRenamed("venue_key", "venue"), cols)
     f = f.withColumnRenamed("venue", "venue_key").join(lineup, "entrant").withColumn("dnf", F.coalesce("dnf", F.lit(0)))
-    return results.unionByName(f)
+    return results.unionByName(f, allowMissingColumns=True)

@@ -201,7 +201,7 @@ def losses(t):
 m AS (SELECT rep, avg(d) AS v FROM dr JOIN num USING (i) GROUP BY rep)
 SELECT round((SELECT avg(d) FROM df), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM m""")
 def paired(t):
-    return rounded(rs.paired(losses(t), "a", "b", RACE, N_BOOT, hot=False), [], "mean", "low", "high")
+    return rounded(rs.paired(losses(t), "a", "b", RACE, N_BOOT), [], "mean", "low", "high")
 
 
 @query("H23_cluster_bootstrap", "results",
@@ -210,7 +210,7 @@ m AS (SELECT rep, sum(s) / sum(c) AS v FROM dr JOIN num USING (i) GROUP BY rep)
 SELECT round((SELECT sum(s) / sum(c) FROM cl), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM m""")
 def clustered(t):
     x = F.pow(F.col("p") - F.col("podium"), 2)
-    return rounded(rs.clustered(coarse(t), RACE, x, N_BOOT, hot=False), [], "mean", "low", "high")
+    return rounded(rs.clustered(coarse(t), RACE, x, N_BOOT), [], "mean", "low", "high")
 
 
 #: Listed prices derived from the results: some entrants unlisted, some contests thin.

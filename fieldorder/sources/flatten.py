@@ -40,8 +40,13 @@ def documents(
 
 
 def parsed(docs: DataFrame, schema: str, doc: str = "doc") -> DataFrame:
-    """Documents that parse; unreadable ones are skipped."""
-    d = docs.select(F.from_json(doc, schema, {"mode": "PERMISSIVE"}).alias("d")).where(F.col("d").isNotNull())
+    """Documents that parse; unreadable ones are skipped.
+
+    The explode of one element keeps the parse a single expression: without it the filter and every
+    selected field would parse the text again.
+    """
+    once = F.explode(F.array(F.from_json(doc, schema, {"mode": "PERMISSIVE"})))
+    d = docs.select(once.alias("d")).where(F.col("d").isNotNull())
     return d.select("d.*")
 
 
