@@ -42,6 +42,7 @@ class Sizes:
 
     contest: bool | None = None
     history: bool | None = None
+    league: bool | None = None
 
 
 def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:

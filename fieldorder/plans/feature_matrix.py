@@ -53,7 +53,7 @@ def feature_matrix(
     d = stage(ft.pit_lane_to_back(d, s))
     base = d
     # order-dependent ratings
-    elo = rt.elo_ratings(base, hot=s.history).drop("league")
+    elo = rt.elo_ratings(base, hot=s.league).drop("league")
     d = d.join(elo, KEY, "left")
     # entrant history: all on one partitioning by entrant
     d = ft.driver_form_ewm(ft.dnf_rate(ft.driver_form(d, s), s), s)

@@ -16,7 +16,7 @@ WD = "PARTITION BY entrant ORDER BY year, round"
 
 
 def sizes(t: Tables) -> ft.Sizes:
-    return ft.Sizes(contest=t.hot_contest, history=t.hot_history)
+    return ft.Sizes(contest=t.hot_contest, history=t.hot_history, league=t.hot_league)
 
 
 def rounded(df: DataFrame, keys: list[str], *cols: str) -> DataFrame:

@@ -29,7 +29,7 @@ el AS (WITH RECURSIVE f AS (SELECT CAST(0 AS BIGINT) AS t, league, entrant, 1500
 @query("G01_elo", "results",
        sql=ELO + " SELECT league, year, round, entrant, round(pre, 6) AS driver_elo FROM results JOIN y USING (year, round) JOIN el USING (t, league, entrant)")
 def elo(t):
-    return rounded(rt.elo_ratings(t.results, hot=t.hot_history), [*LEAGUE, "entrant"], "driver_elo")
+    return rounded(rt.elo_ratings(t.results, hot=t.hot_league), [*LEAGUE, "entrant"], "driver_elo")
 
 
 @query("G02_elo_contest_step", "results",
@@ -44,13 +44,13 @@ def elo_step(t):
 
 @query("G03_strength")
 def strength(t):
-    return rounded(rt.strength_ratings(t.results, hot=t.hot_history), [*LEAGUE, "entrant"], "driver_rating", "team_rating", "car_rating")
+    return rounded(rt.strength_ratings(t.results, hot=t.hot_league), [*LEAGUE, "entrant"], "driver_rating", "team_rating", "car_rating")
 
 
 @query("G05_rating_grid")
 def rating_grid(t):
     grid = [rt.Strength(lr_driver=a, lr_team=b) for a in (0.02, 0.05, 0.1) for b in (0.05, 0.1)]
-    return rounded(rt.score_parameters(t.results, grid), ["point"], "score")
+    return rounded(rt.score_parameters(t.results, grid, t.hot_league), ["point"], "score")
 
 
 @query("G06_level_tracker", "results",
@@ -68,7 +68,7 @@ def tracker(t):
        sql=ELO + " SELECT league, year, round, entrant, finish_position, round(pre, 6) AS driver_elo FROM results JOIN y USING (year, round) JOIN el USING (t, league, entrant)")
 def rating_as_of(t):
     """Ratings before a contest, for every entry, whether or not it has a result."""
-    pre = rt.elo_ratings(t.results, hot=t.hot_history)
+    pre = rt.elo_ratings(t.results, hot=t.hot_league)
     d = t.results.select(*LEAGUE, "entrant", "finish_position").join(pre, [*LEAGUE, "entrant"], "left")
     return rounded(d, [*LEAGUE, "entrant", "finish_position"], "driver_elo")
 

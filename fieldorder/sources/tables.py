@@ -83,6 +83,13 @@ class Tables:
         """An entrant has at most one row per contest, and contests are calendar months."""
         return False if self._hot is None else self._hot
 
+    @cached_property
+    def hot_league(self) -> bool | None:
+        """A league has at most one result row per order line; beyond that bound it is measured."""
+        if self._hot is not None:
+            return self._hot
+        return False if self.rows("lineitem") <= GROUP_ROW_LIMIT else None
+
     @cached_property
     def hot_events(self) -> bool:
         """Any group of event rows is at most the whole event table."""

@@ -6,9 +6,11 @@ State is bounded by watermarks or by the number of keys.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +19,10 @@ from fieldorder.functions.scalars import accepted, claim_probability
 from fieldorder.operators import ledger as lg
 
 
+#: The state function travels to Python workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def read_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
     """Files appended to a folder, with a stated schema."""
     r = spark.readStream.schema(schema).format(fmt)
