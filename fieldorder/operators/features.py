@@ -19,7 +19,6 @@ from fieldorder.operators.grouping import (
     join_groups,
     quantiles,
     with_prefix,
-    with_quantiles,
     with_rank,
     with_totals,
 )
@@ -427,7 +426,3 @@ def pit_delta(df: DataFrame, x: Column, s: Sizes) -> DataFrame:
     field = quantiles(df, CONTEST, x, {"_f": 0.5}, s.contest)
     d = join_groups(join_groups(df, team, TEAM_CONTEST), field, CONTEST)
     return d.withColumn("team_pit_delta_s", F.col("_t") - F.col("_f")).drop("_t", "_f")
-
-
-def field_median(df: DataFrame, x: Column, out: str, s: Sizes) -> DataFrame:
-    return with_quantiles(df, CONTEST, x, {out: 0.5}, s.contest)

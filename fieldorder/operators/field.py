@@ -13,7 +13,6 @@ from fieldorder.operators.grouping import (
     join_groups,
     quantiles,
     with_index,
-    with_quantiles,
     with_rank,
     with_totals,
 )
@@ -136,9 +135,5 @@ def group_filter(df: DataFrame, keys: Sequence[str], least: int, hot: bool | Non
     return d.where(F.col("_n") >= least).drop("_n")
 
 
-def with_contest_median(df: DataFrame, x: Column, out: str, s: Sizes) -> DataFrame:
-    return with_quantiles(df, CONTEST, x, {out: 0.5}, s.contest)
-
-
 def finishers(df: DataFrame) -> DataFrame:
     return df.where(classified())

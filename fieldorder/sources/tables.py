@@ -100,10 +100,6 @@ class Tables:
         """Any group of order lines is at most the whole table."""
         return self._bound("lineitem")
 
-    @cached_property
-    def hot_documents(self) -> bool:
-        return self._bound("documents")
-
     @cached_property
     def results(self) -> DataFrame:
         """One row per entrant and contest: lines of one supplier in one order month."""

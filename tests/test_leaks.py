@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fieldorder.functions.fixed_values import FEATURE_COLUMNS
 from fieldorder.operators import features as ft
 from fieldorder.plans.feature_matrix import Inputs, feature_matrix, with_future
 from fieldorder.plans.venues import venue_name
@@ -18,7 +19,7 @@ def test_outcomes_do_not_leak_and_future_rows_work(spark):
     hit = (F.col("year") == 1996) & (F.col("round") >= 6)
     changed = r.withColumn("finish_position", F.when(hit, 30 - F.col("entrant")).otherwise(F.col("finish_position")).cast("int"))
     changed = changed.withColumn("points", F.when(hit, 0).otherwise(F.col("points"))).withColumn("dnf", F.when(hit, 0).otherwise(F.col("dnf")))
-    fill = spark.createDataFrame([tuple([-1.0] * 35)], ", ".join(f"{c} double" for c in __import__("fieldorder.functions.fixed_values", fromlist=["x"]).FEATURE_COLUMNS))
+    fill = spark.createDataFrame([tuple([-1.0] * len(FEATURE_COLUMNS))], ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
     remaining = spark.createDataFrame([(1997, 1, "monza")], "year int, round int, venue_key string")
     a = feature_matrix(Inputs(with_future(r, remaining)), S, fill, domain=False)
     b = feature_matrix(Inputs(changed), S, fill, domain=False)
