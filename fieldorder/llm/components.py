@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from fieldorder.llm.common import written
 
-#: Pairs that one member of an open group may cost before another round of pivots is cheaper.
-PAIRS_PER_MEMBER = 8
+#: Pairs that a member of an open group may cost on average (most fall to ``fits``) before pivots are cheaper.
+PAIRS_PER_MEMBER = 64
 
 #: Rounds of pivots before all open pairs are compared.
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 2
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -57,12 +57,13 @@ def link_members(
 
     In a group of near copies comparing everything costs the square of its size, and is idle: as soon as most are
     known to belong together only pairs across components can add anything. So each round takes one pivot per open
-    group (drawn by hash) and compares the others with it; when the rest is cheap, all pairs between a group's
+    group, from its largest component, and compares the others with it; when the rest is cheap, all pairs between a group's
     minor components and everything else are compared. No pair across components is left out.
     """
     tried: list[DataFrame] = []
     links: list[DataFrame] = []
     labels = None
+    members = members.select("key", "id", *extra)
 
     def union(parts: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, parts)
@@ -85,12 +86,13 @@ def link_members(
             break
         last = cost["pairs"] <= PAIRS_PER_MEMBER * cost["rows"] or turn == PIVOT_ROUNDS
         m = written(m.join(groups.select("_k", "major"), F.col("key") == F.col("_k")).drop("_k"), "open")
+        members = m.select("key", "id", *extra)  # groups in one component stay so
         cols = ["key", "id", "label", *extra]
         right = m.select(*[F.col(c).alias(f"r_{c}") for c in cols])
         if last:
             left = m.where("label <> major").select(*[F.col(c).alias(f"l_{c}") for c in cols])
         else:
-            pivot = m.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), *cols[1:])).alias("p"))
+            pivot = m.where("label = major").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), *cols[1:])).alias("p"))
             left = pivot.select(F.col("key").alias("l_key"), *[F.col(f"p.{c}").alias(f"l_{c}") for c in cols[1:]])
         on = (F.col("l_key") == F.col("r_key")) & (F.col("l_label") != F.col("r_label")) & fits("l_", "r_")
         pairs = left.join(right, on).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()

@@ -244,7 +244,7 @@ def fits(percent: int) -> Callable[[str, str], Column]:
 
 
 def linked_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """The table of documents_sets, and (id, label) of the sets that are linked with others (None: no set is)."""
+    """The table of documents_sets, and (set, label) of the sets that are linked with others (None: no set is)."""
     sc = docs.sparkSession.sparkContext
     hot = sc.broadcast(frequent(docs, n))  # at most COUNTERS numbers
     rows = written(documents_sets(docs, n, hot), "sets")
@@ -265,12 +265,28 @@ def linked_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
                 yield i, size, alone, k.tobytes(), head.tolist()
 
     ranked = map_rows(all_keys, order, ["n", "keys"], ["set"], "size long, alone long, keys binary, head array<long>")
-    ranked = ranked.withColumnsRenamed({"set": "id", "size": "n"})
+    ranked = ranked.withColumnsRenamed({"size": "n"}).withColumn("id", F.monotonically_increasing_id())
     ranked = written(ranked, "ranked")
     members = ranked.select("id", "n", "alone", F.posexplode("head").alias("p", "key"))
-    members = written(members.select("key", "id", "n", (F.col("alone") + F.col("p")).alias("at")), "prefixes")
+    members = members.select("key", "id", "n", (F.col("alone") + F.col("p")).alias("at"))
+    members = written(first_keys(members), "prefixes")
     links = link_members(members, ["n", "at"], fits(percent), verifier(ranked, percent))
-    return rows, None if links is None else written(components(links), "components")
+    if links is None:
+        return rows, None
+    names = ranked.select(F.col("id").alias("_i"), "set")
+    return rows, written(components(links).join(names, F.col("id") == F.col("_i")).select("set", "label"), "components")
+
+
+def first_keys(members: DataFrame) -> DataFrame:
+    """Only the first of the keys that the same sets share.
+
+    Every pair that meets in one of them meets in all, first in the smallest, where the positional filter is widest.
+    Runs of n-grams that are copied together so count once. Member lists are compared by size and two 64-bit xors.
+    """
+    by = [F.bit_xor(F.xxhash64("id", F.lit(i))) for i in range(2)]
+    lists = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), by[0].alias("x"), by[1].alias("y")).where("c > 1")
+    kept = lists.groupBy("c", "x", "y").agg(F.min("key").alias("_k"))
+    return members.join(kept.select("_k"), F.col("key") == F.col("_k")).drop("_k")
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -285,10 +301,13 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     alone = d.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     d = d.where("n_shingles > 0")
     if labels is not None:
-        d = d.join(labels, F.col("set") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("label", "set").alias("c"))
+        labels = labels.select(F.col("set").alias("_s"), "label")
+        d = d.join(labels, F.col("set") == F.col("_s"), "left")
     else:
-        d = d.select("doc_id", "n_shingles", F.col("set").alias("c"))
+        d = d.withColumn("label", F.lit(None).cast("long"))
+    # a set without links is known by its digest, a component by its label
+    d = d.select("doc_id", "n_shingles", F.struct("label", F.when(F.col("label").isNull(), F.col("set")).alias("s")).alias("c"))
     d = written(d, "labelled")
     least = d.groupBy("c").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("c", "_c")
-    d = d.join(least, F.col("c") == F.col("_c")).select("doc_id", "n_shingles", "component_id")
+    d = d.join(least, F.col("c").eqNullSafe(F.col("_c"))).select("doc_id", "n_shingles", "component_id")
     return d.unionByName(alone)
