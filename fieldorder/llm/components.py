@@ -48,7 +48,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_members(
-    members: DataFrame, extra: list[str], fits: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]
+    members: DataFrame,
+    extra: list[str],
+    fits: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    central: str | None = None,
 ) -> DataFrame | None:
     """Links (a, b) that connect all members of shared groups which fit and verify, or None if there are no pairs.
 
@@ -57,7 +61,8 @@ def link_members(
 
     In a group of near copies comparing everything costs the square of its size, and is idle: as soon as most are
     known to belong together only pairs across components can add anything. So each round takes one pivot per open
-    group, from its largest component, and compares the others with it; when the rest is cheap, all pairs between a group's
+    group and compares the others with it: the member with the least ``central`` (later: outside the largest
+    component). When the rest is cheap, all pairs between a group's
     minor components and everything else are compared. No pair across components is left out.
     """
     tried: list[DataFrame] = []
@@ -84,7 +89,8 @@ def link_members(
         cost = groups.agg(F.sum("n").alias("rows"), F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("pairs")).first()
         if not cost["rows"]:
             break
-        last = cost["pairs"] <= PAIRS_PER_MEMBER * cost["rows"] or turn == PIVOT_ROUNDS
+        idle = bool(links) and links[-1].isEmpty()
+        last = idle or cost["pairs"] <= PAIRS_PER_MEMBER * cost["rows"] or turn == PIVOT_ROUNDS
         m = written(m.join(groups.select("_k", "major"), F.col("key") == F.col("_k")).drop("_k"), "open")
         members = m.select("key", "id", *extra)  # groups in one component stay so
         cols = ["key", "id", "label", *extra]
@@ -92,7 +98,8 @@ def link_members(
         if last:
             left = m.where("label <> major").select(*[F.col(c).alias(f"l_{c}") for c in cols])
         else:
-            pivot = m.where("label = major").groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)), *cols[1:])).alias("p"))
+            first = [(F.col("label") == F.col("major")) & F.lit(turn > 0), F.col(central or "id"), F.xxhash64("id", F.lit(turn))]
+            pivot = m.groupBy("key").agg(F.min_by(F.struct(*cols[1:]), F.struct(*first)).alias("p"))
             left = pivot.select(F.col("key").alias("l_key"), *[F.col(f"p.{c}").alias(f"l_{c}") for c in cols[1:]])
         on = (F.col("l_key") == F.col("r_key")) & (F.col("l_label") != F.col("r_label")) & fits("l_", "r_")
         pairs = left.join(right, on).select(F.least("l_id", "r_id").alias("a"), F.greatest("l_id", "r_id").alias("b")).distinct()
@@ -103,5 +110,6 @@ def link_members(
         links.append(written(verify(pairs), "links"))
         if last:
             break
-        labels = written(components(union(links)), "labels")
+        if not links[-1].isEmpty():
+            labels = written(components(union(links)), "labels")
     return union(links) if links else None

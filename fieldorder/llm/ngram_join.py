@@ -173,13 +173,11 @@ def bucketed(docs: DataFrame, n: int, hot, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, sets binary, sizes binary, grams binary")
 
 
-def shared(bucket_rows: DataFrame) -> DataFrame:
-    """set, keys: per bucket and set, the order keys of n-grams that at least two sets have."""
+def shared(bucket_rows: DataFrame, parts: int) -> DataFrame:
+    """part, sets, sizes, keys: per bucket and part of the sets, the order keys of n-grams that two sets or more have."""
 
     def run(t: pa.Table) -> pa.Table:
-        digests = np.concatenate([np.frombuffer(x, DIGEST) for x in t.column("sets").to_pylist()])
-        sizes = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("sizes").to_pylist()])
-        h = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("grams").to_pylist()])
+        digests, sizes, h = unpacked(t, "grams", "<u8")
         names, at = np.unique(digests, return_inverse=True)
         owner = np.repeat(at, sizes)
         order = np.lexsort((owner, h))
@@ -187,17 +185,75 @@ def shared(bucket_rows: DataFrame) -> DataFrame:
         once = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(owner) != 0)])  # a set may come from several batches
         h, owner = h[once], owner[once]
         first = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0]))
-        times = np.repeat(np.diff(np.concatenate([first, [len(h)]])), np.diff(np.concatenate([first, [len(h)]])))
+        lengths = np.diff(np.concatenate([first, [len(h)]]))
+        times = np.repeat(lengths, lengths)
         again = times > 1
         key, owner = ordered(h[again], times[again]), owner[again]
         by = np.argsort(owner, kind="stable")
         key, owner = key[by], owner[by]
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        sets = [names[o[0]].tobytes() for o in np.split(owner, cuts)] if len(owner) else []
-        keys = [k.astype("<i8").tobytes() for k in np.split(key, cuts)] if len(owner) else []
-        return pa.table({"set": pa.array(sets, pa.binary()), "keys": pa.array(keys, pa.binary())})
+        new = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0])) if len(owner) else np.empty(0, np.int64)
+        sizes = np.diff(np.concatenate([new, [len(owner)]]))
+        sets = names[owner[new]]  # sorted, so the sets of a part stand together
+        part = part_of(sets["a"], parts)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = [
+            (int(part[u]), sets[u:v].tobytes(), sizes[u:v].astype("<u4").tobytes(), key[ends[u] : ends[v]].astype("<i8").tobytes())
+            for u, v in zip(cuts[:-1], cuts[1:])
+        ]
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "sets", "sizes", "keys"])
 
-    return bucket_rows.groupBy("bucket").applyInArrow(run, "set binary, keys binary")
+    return bucket_rows.groupBy("bucket").applyInArrow(run, "part int, sets binary, sizes binary, keys binary")
+
+
+def unpacked(t: pa.Table, values: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, how many values each has, and all values, of packed rows."""
+    read = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
+    return read("sets", DIGEST), read("sizes", "<u4"), read(values, kind)
+
+
+def part_of(high: np.ndarray, parts: int) -> np.ndarray:
+    """The part of sets by the first half of their digests, rising with it."""
+    return (((high >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def ranked_sets(sets: DataFrame, some: DataFrame, percent: int, parts: int) -> DataFrame:
+    """set, size, alone, keys, head of sets whose prefix holds an n-gram that others have, too.
+
+    ``alone``: n-grams that no other set has, first in the order; ``keys``: the others, rare first; ``head``: those of
+    them within the prefix.
+    """
+
+    def pack(rows):
+        for i, (name, frequent) in enumerate(rows):
+            part = part_of(np.frombuffer(name, DIGEST)["a"], parts)[0]
+            yield i, int(part), name, np.array([len(frequent) // 8], "<u4").tobytes(), frequent
+
+    own = map_rows(sets, pack, ["set", "frequent"], ["n"], "part int, sets binary, sizes binary, keys binary")
+    both = own.unionByName(some.withColumn("n", F.lit(None).cast("long")))
+    out = pa.schema([("set", pa.binary()), ("size", pa.int64()), ("alone", pa.int64()), ("keys", pa.binary()), ("head", pa.list_(pa.int64()))])
+
+    def run(t: pa.Table) -> pa.Table:
+        digests, sizes, keys = unpacked(t, "keys", "<i8")
+        names, at = np.unique(digests, return_inverse=True)
+        known = t.filter(t.column("n").is_valid())
+        size = np.zeros(len(names), np.int64)
+        mine = np.frombuffer(b"".join(known.column("sets").to_pylist()), DIGEST)
+        size[np.searchsorted(names, mine)] = known.column("n").to_numpy()
+        owner = np.repeat(at, sizes)
+        order = np.lexsort((keys, owner))
+        keys, ends = keys[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(names)))])
+        rows = []
+        for i in range(len(names)):
+            k, n = keys[ends[i] : ends[i + 1]], int(size[i])
+            head = k[: max(0, prefix(n, percent) - (n - len(k)))]
+            if len(head):
+                rows.append((names[i].tobytes(), n, n - len(k), k.tobytes(), head.tolist()))
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+
+    return both.groupBy("part").applyInArrow(run, "set binary, size long, alone long, keys binary, head array<long>")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 2) -> int:
@@ -251,26 +307,15 @@ def linked_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     sets = rows.where("n_shingles > 0").groupBy("set").agg(F.first("n_shingles").alias("n"), F.first("frequent").alias("frequent"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), -(-total // BUCKET))
-    some = shared(bucketed(docs, n, hot, buckets))
-    none = F.lit(None)
-    all_keys = sets.select("set", "n", F.col("frequent").alias("keys")).unionByName(some.select("set", none.cast("long").alias("n"), "keys"))
-    all_keys = all_keys.groupBy("set").agg(F.max("n").alias("n"), F.collect_list("keys").alias("keys"))
-
-    def order(part):
-        for i, (size, keys) in enumerate(part):
-            k = np.sort(np.frombuffer(b"".join(keys), "<i8"))
-            alone = size - len(k)
-            head = k[: max(0, prefix(size, percent) - alone)]
-            if len(head):
-                yield i, size, alone, k.tobytes(), head.tolist()
-
-    ranked = map_rows(all_keys, order, ["n", "keys"], ["set"], "size long, alone long, keys binary, head array<long>")
+    some = shared(bucketed(docs, n, hot, buckets), buckets)
+    ranked = ranked_sets(sets, some, percent, buckets)
     ranked = ranked.withColumnsRenamed({"size": "n"}).withColumn("id", F.monotonically_increasing_id())
     ranked = written(ranked, "ranked")
     members = ranked.select("id", "n", "alone", F.posexplode("head").alias("p", "key"))
     members = members.select("key", "id", "n", (F.col("alone") + F.col("p")).alias("at"))
     members = written(first_keys(members), "prefixes")
-    links = link_members(members, ["n", "at"], fits(percent), verifier(ranked, percent))
+    # the text that others are copies of has the fewest n-grams of its own
+    links = link_members(members, ["n", "at"], fits(percent), verifier(ranked, percent), central="at")
     if links is None:
         return rows, None
     names = ranked.select(F.col("id").alias("_i"), "set")
