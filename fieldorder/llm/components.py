@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fieldorder.llm.common import written
 
-#: Pairs that a member of an open group may cost on average (most fall to ``fits``) before pivots are cheaper.
-PAIRS_PER_MEMBER = 64
+#: Members outside a group's largest component up to which all its open pairs are compared at once.
+OUTSIDE = 32
 
 #: Rounds of pivots before all open pairs are compared.
 PIVOT_ROUNDS = 2
@@ -62,7 +62,7 @@ def link_members(
     In a group of near copies comparing everything costs the square of its size, and is idle: as soon as most are
     known to belong together only pairs across components can add anything. So each round takes one pivot per open
     group and compares the others with it: the member with the least ``central`` (later: outside the largest
-    component). When the rest is cheap, all pairs between a group's
+    component). At last all pairs between a group's
     minor components and everything else are compared. No pair across components is left out.
     """
     tried: list[DataFrame] = []
@@ -86,11 +86,11 @@ def link_members(
             F.min("label").alias("_lo"), F.max("label").alias("_hi"),
         ).where("_lo <> _hi").drop("_lo", "_hi")
         groups = written(groups.withColumnRenamed("key", "_k"), "groups")
-        cost = groups.agg(F.sum("n").alias("rows"), F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("pairs")).first()
-        if not cost["rows"]:
+        outside = groups.agg(F.max(F.col("n") - F.col("most"))).first()[0]
+        if outside is None:
             break
         idle = bool(links) and links[-1].isEmpty()
-        last = idle or cost["pairs"] <= PAIRS_PER_MEMBER * cost["rows"] or turn == PIVOT_ROUNDS
+        last = idle or outside <= OUTSIDE or turn == PIVOT_ROUNDS
         m = written(m.join(groups.select("_k", "major"), F.col("key") == F.col("_k")).drop("_k"), "open")
         members = m.select("key", "id", *extra)  # groups in one component stay so
         cols = ["key", "id", "label", *extra]
