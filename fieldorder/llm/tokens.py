@@ -56,36 +56,57 @@ class WordMemo:
         self.split = None
         if config["model"].get("end_of_word_suffix") and first.get("behavior") == "Removed" and first.get("invert"):
             self.split = regex.compile(first["pattern"]["Regex"]).findall
+            self.final = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a word
+            end = config["model"]["end_of_word_suffix"]
+            self.final[[i for t, i in self.tok.get_vocab().items() if t.endswith(end)]] = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are one word each, encoded in one go and cut at the ids that end a word."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            ids = np.frombuffer(self.library([" ".join(some)])[0], "<u4")
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) != len(some):
+                out += self.library(some)
+                continue
+            raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def plain(self, text: str) -> bool:
         """Whether the text's ids are those of its words in order."""
         return self.split is not None and not any(x in text for x in (*self.special, *ODD_SPACE))
 
-    def learn(self, words: list[str]) -> None:
-        """Put words into the memo; parts between letters and signs are shared by many words."""
-        if len(self.words) > MEMO:
+    def learn(self, words: list[str]) -> bool:
+        """Put words into the memo (True: which was started anew); many words share parts between letters and signs."""
+        anew = len(self.words) > MEMO
+        if anew:
             self.words.clear()
         if len(self.pieces) > MEMO:
             self.pieces.clear()
-        parts = {w: self.split(w.lower()) if max(w) < "Ā" else [w] for w in words}
+        latin, others = [], []
+        for w in words:
+            (latin if w.isascii() or max(w) < "Ā" else others).append(w)
+        self.words.update(zip(others, self.library(others)))
+        parts = {w: self.split(w.lower()) for w in latin}
         new = list({p for ps in parts.values() for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self.library(new)))
+        self.pieces.update(zip(new, self.together(new)))
         get = self.pieces.__getitem__
-        self.words.update({w: b"".join(map(get, ps)) for w, ps in parts.items()})
+        self.words.update({w: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for w, ps in parts.items()})
+        return anew
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if self.plain(t) else None for t in texts]
         memo = self.words
         missing = {w for ws in split if ws for w in ws if w not in memo}
-        if missing:
-            self.learn(list(missing))
-            if any(w not in memo for ws in split if ws for w in ws):  # the memo was started anew in between
-                self.learn(list({w for ws in split if ws for w in ws}))
+        if missing and self.learn(list(missing)):
+            self.learn([w for w in {w for ws in split if ws for w in ws} if w not in memo])
         get = memo.__getitem__
         return [self.library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
