@@ -153,15 +153,19 @@ def by_favourite(df: DataFrame, p: str, who: str, targets: Sequence[tuple[str, s
 
 
 def walk_forward(nll: DataFrame, previous_only: bool = False) -> DataFrame:
-    """Contest losses at a temperature fitted on earlier years only (or on the year before only).
+    """Contest losses at a temperature fitted on earlier years only.
 
-    One (contest x temperature) loss table serves every season: yearly sums are accumulated, the
+    ``previous_only``: on the season tested last, whether or not it was the year before; the first one is scored at
+    temperature 1, which the table must hold. One (contest x temperature) loss table serves every season: yearly sums are accumulated, the
     best temperature per season is picked, and that season's losses are looked up.
     """
     per = nll.groupBy("year", "temperature").agg(F.sum("ll_top3").alias("_s"), F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy("temperature").orderBy("year")
-    w = w.rangeBetween(-1, -1) if previous_only else w.rowsBetween(Window.unboundedPreceding, -1)
+    w = w.rowsBetween(-1 if previous_only else Window.unboundedPreceding, -1)
     per = per.select("year", "temperature", (F.sum("_s").over(w) / F.sum("_c").over(w)).alias("_loss"))
+    if previous_only:
+        first = F.col("_loss").isNull()  # temperature 1 is for the first season alone
+        per = per.withColumn("_loss", F.when(F.col("temperature") != 1.0, F.col("_loss")).when(first, 0.0))
     best = per.where(F.col("_loss").isNotNull()).groupBy("year").agg(
         F.min(F.struct("_loss", "temperature")).alias("b")
     )

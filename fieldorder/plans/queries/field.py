@@ -252,9 +252,9 @@ def team_standings(t):
 
 
 @query("E20_season_leader", "results",
-       sql=STAND + " SELECT year, arg_max(entrant, points * 1000000 - entrant) AS leader, max(points) AS points FROM st GROUP BY year")
+       sql=STAND.replace("round <= 8", "round <= 12") + " SELECT year, arg_max(entrant, points * 1000000 - entrant) AS leader, max(points) AS points FROM st GROUP BY year")
 def leader(t):
-    d = fd.standings(t.results, sprint_scored(t), "entrant", 8)
+    d = fd.standings(t.results, sprint_scored(t), "entrant", 12)  # a season is over after its last month
     return d.groupBy("year").agg(
         fd.best(F.col("entrant"), F.col("points"), F.col("entrant")).alias("leader"), F.max("points").alias("points")
     )

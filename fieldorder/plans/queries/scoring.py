@@ -315,11 +315,13 @@ def walk_forward(t):
 
 
 @query("H30_walk_forward_previous_year", "results",
-       sql=TGRID + """, y AS (SELECT year + 1 AS year, temperature, avg(ll_top3) AS loss FROM nt GROUP BY 1, 2),
+       sql=TGRID.replace(T_LIST, T_LIST[:-1] + ", 1.0::DOUBLE]") + """, s AS (SELECT year, lag(year) OVER (ORDER BY year) AS before FROM (SELECT DISTINCT year FROM nt)),
+f AS (SELECT year AS before, temperature, sum(ll_top3) / count(*) AS loss FROM nt WHERE temperature <> 1.0 GROUP BY 1, 2),
+y AS (SELECT year, temperature, loss FROM s JOIN f USING (before) UNION ALL SELECT year, 1.0, 0.0 FROM s WHERE before IS NULL),
 b AS (SELECT year, temperature FROM y QUALIFY row_number() OVER (PARTITION BY year ORDER BY loss, temperature) = 1)
 SELECT year, round, temperature, round(ll_winner, 6) AS ll_winner, round(ll_top3, 6) AS ll_top3 FROM nt JOIN b USING (year, temperature)""")
 def walk_forward_previous(t):
-    return rounded(sc.walk_forward(nll_table(t), previous_only=True), [*RACE, "temperature"], "ll_winner", "ll_top3")
+    return rounded(sc.walk_forward(nll_table(t, extra=(1.0,)), previous_only=True), [*RACE, "temperature"], "ll_winner", "ll_top3")
 
 
 @query("H31_rolling_temperature", "results",

@@ -123,7 +123,8 @@ def changed_documents(old: DataFrame, new: DataFrame, keys: Sequence[str], conte
     """
 
     def digest(df: DataFrame, out: str) -> DataFrame:
-        h = F.xxhash64(*content)
+        # the hash skips nulls, so each column comes with its null bit
+        h = F.xxhash64(*[x for c in content for x in (F.col(c).isNull(), F.col(c))])
         mix = F.shiftright(h, 20)  # sums of parts: no overflow below 2**19 rows per partial, decimal beyond
         total = F.sum(mix.cast("decimal(20,0)")).cast("string")
         low = F.sum((h.bitwiseAND(F.lit(1048575))).cast("decimal(20,0)")).cast("string")

@@ -170,3 +170,18 @@ def test_backfill_reports_added_columns(spark):
     assert added == ["round_fraction", "fp_longrun_gap_pct"]
     got = {r["round"]: (r["grid_position"], r["round_fraction"], r["fp_longrun_gap_pct"]) for r in d.collect()}
     assert got == {1: (5.0, 0.0, None), 3: (5.0, 1.0, None)}
+
+
+def test_changed_documents_sees_values_that_move_between_columns(spark):
+    old = spark.createDataFrame([(1, None, 5), (2, 1, None)], "k long, a long, b long")
+    new = spark.createDataFrame([(1, 5, None), (2, 1, None)], "k long, a long, b long")
+    assert [r["k"] for r in mg.changed_documents(old, new, ["k"], ["a", "b"]).collect()] == [1]
+
+
+def test_walk_forward_on_the_season_tested_last(spark):
+    from fieldorder.operators import scoring as sc
+
+    loss = {1990: {0.5: 1.0, 1.0: 9.0, 2.0: 3.0}, 1991: {0.5: 4.0, 1.0: 0.0, 2.0: 2.0}, 1994: {0.5: 7.0, 1.0: 1.0, 2.0: 8.0}}
+    rows = [(y, 1, t, x) for y, by in loss.items() for t, x in by.items()]
+    got = sc.walk_forward(spark.createDataFrame(rows, "year int, round int, temperature double, ll_top3 double"), True).collect()
+    assert sorted((r["year"], r["temperature"], r["ll_top3"]) for r in got) == [(1990, 1.0, 9.0), (1991, 0.5, 4.0), (1994, 2.0, 8.0)]
