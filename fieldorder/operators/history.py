@@ -7,6 +7,7 @@ carry over the last rows of the chunk before, so one key never has to fit one ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,8 @@ from fieldorder.operators.grouping import (
 
 #: Rows of one key handled together when a long history is split.
 CHUNK_ROWS = 4096
-#: Rows per block of the exponentially weighted mean; r**BLOCK is below double precision.
-BLOCK = 256
+#: Least rows per block of the exponentially weighted mean, and the weight (as a logarithm) below double precision.
+BLOCK, FAINT = 256, 37.0
 
 
 def _lookback(
@@ -90,17 +91,21 @@ def with_ewm(
 
     ``k`` counts rows back, or non-null rows back with ``ignore_na``. Rows are grouped into
     blocks: inside a block a running sum of x * r**-offset gives the recent part, and the sum of
-    the block before gives the rest (anything older weighs less than r**BLOCK).
+    the block before gives the rest. Blocks are as long as the span needs for anything older to be below double
+    precision.
     """
+    if span <= 1:
+        raise ValueError("span must be above 1")
     hot = is_hot(df, keys, hot)
     r = 1.0 - 2.0 / (span + 1.0)
+    block = max(BLOCK, math.ceil(FAINT / -math.log(r)))
     some = F.when(F.col("_x").isNotNull(), 1).otherwise(0)
     d = df.withColumn("_x", x.cast("double"))
     d = with_prefix(d, keys, order, {"_n": some, "_all": F.lit(1)}, hot=hot)
     at = F.coalesce(F.col("_n" if ignore_na else "_all"), F.lit(0))
-    d = d.withColumn("_b", F.floor(at / BLOCK)).withColumn("_o", at % BLOCK)
+    d = d.withColumn("_b", F.floor(at / block)).withColumn("_o", at % block)
     up = F.pow(F.lit(1.0 / r), F.col("_o"))
-    down = F.pow(F.lit(r), (BLOCK - 1) - F.col("_o"))
+    down = F.pow(F.lit(r), (block - 1) - F.col("_o"))
     seen = F.col("_x").isNotNull()
     inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_pn", F.coalesce(F.sum(F.col("_x") * up).over(inside), F.lit(0.0)))

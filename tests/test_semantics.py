@@ -185,3 +185,18 @@ def test_walk_forward_on_the_season_tested_last(spark):
     rows = [(y, 1, t, x) for y, by in loss.items() for t, x in by.items()]
     got = sc.walk_forward(spark.createDataFrame(rows, "year int, round int, temperature double, ll_top3 double"), True).collect()
     assert sorted((r["year"], r["temperature"], r["ll_top3"]) for r in got) == [(1990, 1.0, 9.0), (1991, 0.5, 4.0), (1994, 2.0, 8.0)]
+
+
+def test_ewm_of_a_long_history_for_any_span(spark):
+    import numpy as np
+    import pandas as pd
+
+    from fieldorder.operators.history import with_ewm
+
+    x = np.random.default_rng(1).integers(1, 100, 1500).astype(float)
+    d = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, i int, v double")
+    for span in (5, 50, 200, 500):
+        want = pd.Series(x).ewm(span=span).mean().shift(1)
+        for hot in (False, True):
+            got = with_ewm(d, ["k"], ["i"], d["v"], span, "m", hot=hot).orderBy("i").toPandas()["m"]
+            assert np.allclose(got[1:], want[1:], rtol=1e-9, atol=0)
