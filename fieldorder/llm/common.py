@@ -17,6 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting of rows per Arrow batch, its default, and what whole documents use in its place.
+BATCH, DEFAULT_ROWS, DOCUMENT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
+
 #: Entries that a worker's memo may hold before it starts anew.
 MEMO = 400_000
 
@@ -51,6 +54,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch, whose buffers are as long as its texts; a session's own setting stays."""
+    if spark.conf.get(BATCH) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, DOCUMENT_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; Python workers started from here on find this package where the driver does."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
@@ -68,6 +77,7 @@ def map_rows(df: DataFrame, make: Callable, read: list[str], keep: list[str], ou
     A row may give none, one or many results; each gets the ``keep`` columns of its row and the columns of ``out``
     (DDL). Work goes in slices of 256 rows, so memory follows the longest texts and not the batch.
     """
+    small_batches(df.sparkSession)
     made = T.StructType.fromDDL(out)
     need = list(dict.fromkeys([*keep, *read]))
     schema = T.StructType([*[df.schema[c] for c in keep], *made])
