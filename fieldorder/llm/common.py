@@ -98,6 +98,17 @@ def map_rows(df: DataFrame, make: Callable, read: list[str], keep: list[str], ou
     return df.select(*need).mapInArrow(run, schema)
 
 
+_HELD: list[dict | None] = [None]
+
+
+def hold(memo: dict | None) -> None:
+    """A worker serves one operator after another; it keeps the memo in use and empties the one before."""
+    if _HELD[0] is not memo:
+        if _HELD[0] is not None:
+            _HELD[0].clear()
+        _HELD[0] = memo
+
+
 class Digests(dict):
     """Word to digest bytes, for as many words as MEMO says at most."""
 
@@ -110,6 +121,7 @@ class Digests(dict):
         return out
 
     def of(self, words: list) -> bytes:
+        hold(self)
         if len(self) > MEMO:
             self.clear()
         return b"".join(map(self.__getitem__, words))

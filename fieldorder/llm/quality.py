@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from fieldorder.llm.common import map_rows
+from fieldorder.llm.common import hold, map_rows
 
 SYMBOLS = "#*$%&|<>"
 
@@ -117,6 +117,7 @@ def keep_good(docs: DataFrame, bands: Bands = Bands(), min_words: int = 50, max_
     """The rows of ``docs`` that ``quality`` keeps, with all their columns and in one pass."""
 
     def rows(part):
+        hold(None)
         press = zstandard.ZstdCompressor(level=bands.level)
         for i, (text,) in enumerate(part):
             raw = (text or "").encode("utf-8", "surrogatepass")

@@ -16,7 +16,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldorder.llm.common import MEMO, map_rows
+from fieldorder.llm.common import MEMO, hold, map_rows
 
 #: Words in the broadcast table: the bound on its size.
 FREQUENT = 65_536
@@ -116,6 +116,7 @@ _ENCODERS: dict[int, WordMemo | WholeTexts] = {}
 
 def encoder(file: Broadcast):
     """The worker's encoder for a broadcast tokenizer file, made once and kept over tasks."""
+    hold(_ENCODERS)
     name, blob = file.value
     key = hash((name, len(blob), blob[-64:]))
     if key not in _ENCODERS:
