@@ -98,11 +98,11 @@ e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY year, round)) AS w FROM d),
 top AS (SELECT year, round, sum(ln(q)) AS lq, sum(w) AS c1, sum(w) FILTER (p >= 2) AS c2, sum(w) FILTER (p >= 3) AS c3,
   max(w) FILTER (p = 1) AS o1, max(w) FILTER (p = 2) AS o2, max(w) FILTER (p = 3) AS o3 FROM e WHERE p IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 3),
 dr AS (SELECT year, round, b, sum(CASE WHEN p IS NULL AND ('0x' || substr(md5(concat_ws('|', year, round, entrant, b)), 1, 8))::BIGINT / 4294967296.0 < q
-  THEN w ELSE 0 END) AS ws FROM e, (SELECT unnest(range(1, 201)) AS b) GROUP BY 1, 2, 3)
+  THEN w ELSE 0 END) AS ws FROM e, (SELECT unnest(range(1, 2001)) AS b) GROUP BY 1, 2, 3)
 SELECT year, round, round(-(max(lq) + ln(avg(o1 / (ws + c1) * o2 / (ws + c2) * o3 / (ws + c3)))), 6) AS nll FROM dr JOIN top USING (year, round) GROUP BY 1, 2""")
 def subset(t):
     q = 0.75 + (F.col("entrant") % 5) * 0.05
-    d = pr.subset_nll(scored(t), RACE, "entrant", -F.col("pred") / 9.0, q, F.col("finish_position"), 200, t.hot_contest)
+    d = pr.subset_nll(scored(t), RACE, "entrant", -F.col("pred") / 9.0, q, F.col("finish_position"), 2000, t.hot_contest)
     return rounded(d, RACE, "nll")
 
 

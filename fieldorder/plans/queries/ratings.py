@@ -49,8 +49,7 @@ def strength(t):
 
 @query("G05_rating_grid")
 def rating_grid(t):
-    grid = [rt.Strength(lr_driver=a, lr_team=b) for a in (0.02, 0.05, 0.1) for b in (0.05, 0.1)]
-    return rounded(rt.score_parameters(t.results, grid, t.hot_league), ["point"], "score")
+    return rounded(rt.score_parameters(t.results, None, t.hot_league), ["point"], "score")
 
 
 @query("G06_level_tracker", "results",

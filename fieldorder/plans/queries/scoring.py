@@ -176,7 +176,7 @@ def by_favourite(t):
     return rounded(g, ["favourite_rank", "n"], "mean_p_win", "observed_won", "mean_p_podium", "observed_podium")
 
 
-N_BOOT = 500
+N_BOOT = 2000
 #: Per contest: loss of the model and of the grid.
 LOSSES = f"""{GRID}, {MODEL}, sa AS (SELECT *, -mpred / 4.0 AS s FROM md), sb AS (SELECT *, -pred / 4.0 AS s2 FROM md),
 {nll_sql('sa', 's', 'la')}, {nll_sql('sb', 's2', 'lb')},
