@@ -25,6 +25,9 @@ from pyspark.sql.window import Window
 #: Largest group that is left to one window task.
 GROUP_ROW_LIMIT = 1_000_000
 
+#: Group rows up to which a table of groups goes to every task instead of both sides being shuffled.
+BROADCAST_GROUPS = 200_000
+
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows in the biggest group (a single number reaches the driver)."""
@@ -63,6 +66,16 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(right, _same(df, right, keys), "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def settled(groups: DataFrame) -> DataFrame:
+    """A checkpointed table of groups, broadcast while it is counted small.
+
+    The detail rows then stand in the plan once, so a chain of split steps grows by one join a step instead of
+    doubling, and a hot key's rows need not move to meet their group.
+    """
+    groups = checkpointed(groups)
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def with_totals(
     df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column], hot: bool | None = None
 ) -> DataFrame:
@@ -70,8 +83,7 @@ def with_totals(
     if not is_hot(df, keys, hot):
         w = Window.partitionBy(*keys)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    groups = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return join_groups(df, groups, keys)
+    return join_groups(df, settled(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])), keys)
 
 
 def _runs(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -186,6 +198,11 @@ def quantiles(
     """Exact linearly interpolated quantiles per group (one row per group)."""
     if not is_hot(df, keys, hot):
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+    return df.select(*keys).distinct().join(_split_quantiles(df, keys, value, probs), list(keys), "left")
+
+
+def _split_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of the groups that have a value."""
     v = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     levels = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     levels = with_prefix(levels, keys, ["_v"], {"_to": F.col("_c")}, hot=True, inclusive=True)
@@ -202,8 +219,7 @@ def quantiles(
         at = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
         cols.append((lo + (at - F.floor(at)) * (hi - lo)).alias(n))
-    found = g.select(*keys, *cols)
-    return df.select(*keys).distinct().join(found, list(keys), "left")
+    return g.select(*keys, *cols)
 
 
 def with_quantiles(
@@ -219,4 +235,4 @@ def with_quantiles(
         return df.select(
             "*", *[F.percentile(value, F.lit(p)).over(w).alias(n) for n, p in probs.items()]
         )
-    return join_groups(df, quantiles(df, keys, value, probs, hot=True), keys)
+    return join_groups(df, settled(_split_quantiles(df, keys, value, probs)), keys)
