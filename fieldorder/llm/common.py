@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -102,10 +103,14 @@ _HELD: list[dict | None] = [None]
 
 
 def hold(memo: dict | None) -> None:
-    """A worker serves one operator after another; it keeps the memo in use and empties the one before."""
+    """A worker serves one operator after another; it keeps the memo in use and gives back what the one before took."""
     if _HELD[0] is not memo:
         if _HELD[0] is not None:
             _HELD[0].clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed blocks stay with the process without it
+            if trim is not None:
+                trim(0)
         _HELD[0] = memo
 
 
