@@ -115,13 +115,14 @@ def nearest(t):
 
 
 @query("C11_quote_as_of", "quotes", "tickets",
-       sql="""c AS (SELECT ticker, epoch_us(ts) AS e, event_id, bid_millis, last_millis FROM quotes WHERE event_id % 2 = 0), k AS (SELECT ticket_id, bettor AS ticker, epoch_us(ts) AS a FROM tickets),
+       sql="""c AS (SELECT ticker, epoch_us(ts) AS e, event_id, bid_millis, last_millis FROM quotes), k AS (SELECT ticket_id, bettor AS ticker, epoch_us(ts) - 3600000000 AS a FROM tickets),
 j AS (SELECT k.ticket_id, c.e, c.bid_millis, c.last_millis, row_number() OVER (PARTITION BY k.ticket_id ORDER BY c.e DESC NULLS LAST, c.event_id DESC) AS r
   FROM k LEFT JOIN c ON k.ticker = c.ticker AND c.e <= k.a AND c.e > k.a - 345600000000) SELECT ticket_id, e AS quote_us, bid_millis, last_millis FROM j WHERE r = 1""")
 def as_of(t):
+    """The quote known an hour before each ticket; both come from one table, and a ticket must not meet its own row."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    right = t.quotes.where("event_id % 2 = 0").select("ticker", us.alias("quote_us"), "event_id", "bid_millis", "last_millis")
-    left = t.tickets.select("ticket_id", F.col("bettor").alias("ticker"), us.alias("a"))
+    right = t.quotes.select("ticker", us.alias("quote_us"), "event_id", "bid_millis", "last_millis")
+    left = t.tickets.select("ticket_id", F.col("bettor").alias("ticker"), (us - 3_600_000_000).alias("a"))
     d = jn.asof_backward(left, right, ["ticker"], "a", "quote_us", ["bid_millis", "last_millis"], "event_id", 345_600_000_000, ["ticket_id"], t.hot_events)
     return d.select("ticket_id", "quote_us", "bid_millis", "last_millis")
 
@@ -169,9 +170,10 @@ def lineup(t):
 
 
 @query("C17_lookup",
-       sql="SELECT l_orderkey, l_linenumber, coalesce(p_brand, 'none') AS brand FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size % 2 = 0) ON l_partkey = p_partkey")
+       sql="SELECT l_orderkey, l_linenumber, coalesce(p_brand, 'none') AS brand FROM lineitem LEFT JOIN part ON l_partkey = 2 * p_partkey")
 def lookup(t):
-    table = t.read("part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    """Doubled part keys, so that odd keys have no entry and get the default."""
+    table = t.read("part").select((2 * F.col("p_partkey")).alias("l_partkey"), F.col("p_brand").alias("brand"))
     d = jn.lookup(t.read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), table, ["l_partkey"], {"brand": "none"})
     return d.select("l_orderkey", "l_linenumber", "brand")
 
