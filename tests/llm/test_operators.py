@@ -159,6 +159,24 @@ def test_quality(spark, docs, words):
     assert quality.quality(empty(spark)).count() == 0
 
 
+def test_quality_bands_decide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    label = {x.doc_id: x.quality for x in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = quality.quality(docs).collect()
+    lost = lambda q: [not x.kept for x in rows if not x.base_failed and label.get(x.doc_id) == q]
+    junk, good = lost(0), lost(1)
+    assert sum(junk) >= 0.75 * len(junk) > 0 and sum(good) <= 0.03 * len(good)
+    kept = {x.doc_id for x in rows if x.kept and 3000 <= x.n_words * 6 <= 60000 and label.get(x.doc_id) == 1}
+    r, bad = random.Random(2), []
+    for x in docs.where("lang = 'en'").collect():
+        if x.doc_id in kept:
+            w = [y.strip(".,") for y in x.text.split()]
+            bad += ["".join(y + r.choice(["### ", "$$$ ", "%%% ", "*** "]) for y in w), " | ".join(r.sample(w, 9)) + " | " + " | ".join(r.choices(sorted(set(w))[:150], k=len(w)))]
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(bad)], "doc_id string, text string")
+    out = quality.quality(d).where("not base_failed").select("kept").collect()
+    assert len(out) > 40 and sum(x.kept for x in out) <= 0.1 * len(out)
+
+
 def brute_components(rows, n, percent):
     sets = []
     for _, t in rows:
