@@ -265,6 +265,34 @@ def test_line_dedup(spark, words):
     assert line_dedup.dedup_lines(d.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 60])
+def test_line_groups_are_those_of_brute_force(spark, words, percent):
+    r = random.Random(8)
+    lines = []
+    for k in range(90):
+        base = [r.choice(words[: 40 if k % 3 == 0 else 3000]) for _ in range(r.choice([4, 5, 6, 8, 10, 11, 20, 40, 100]))]
+        lines.append(base)
+        for share in (0.05, 0.1, 0.2, 0.2):
+            x = list(base)
+            for _ in range(int(share * len(x))):
+                at, kind = r.randrange(len(x)), r.randrange(3)
+                x[at : at + (kind < 2)] = [r.choice(words)] if kind != 1 else []
+            lines.append(x)
+    r.shuffle(lines)
+    split = [x.encode().split() for x in map(" ".join, lines)]
+    group = list(range(len(split)))
+    pairs = [(i, j) for j in range(len(split)) for i in range(j) if line_dedup.alike(split[i], split[j], percent)]
+    for _ in split:
+        before = list(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in line_dedup.dedup_lines(d, percent).collect() if x.text}
+    assert len(pairs) > 200 and kept == set(group)
+
+
 def test_mixing(spark, docs):
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text", "source").toArrow())
