@@ -2,9 +2,9 @@
 
 One streaming pass of the standard parser turns a page into lines (blocks) with their characters, tags and link
 characters. Ratios of characters to tags are smoothed by a Gaussian along the page; lines at or above a threshold
-of the smoothed curve are clustered into content regions. The region's element decides the rest: short lines
-between long ones (headings, short paragraphs) belong to the article that holds them, while lines of menus, adverts
-and the like are known by their elements and names and never count.
+of the smoothed curve are clustered into content regions. All regions count, with the short lines (headings, short
+paragraphs) of the elements that hold them and between them. Menus, forms and the like are known by their elements
+and never count; a class or id name drops an element only if its share of the text or its smoothed ratio is low.
 """
 
 from __future__ import annotations
@@ -46,11 +46,17 @@ NAME = re.compile(r"[a-z]+")
 
 
 class Line:
-    __slots__ = ("chars", "holders", "links", "tags", "text")
+    """``pieces``: text, its link characters, and the open elements whose names are suspect."""
 
-    def __init__(self, text: str, tags: int, links: int, holders: tuple):
-        self.text, self.tags, self.links, self.holders = text, tags, links, holders
-        self.chars = len(text)
+    __slots__ = ("chars", "holders", "links", "pieces", "tags", "text")
+
+    def __init__(self, pieces: list, tags: int, holders: tuple):
+        self.pieces, self.tags, self.holders = pieces, tags, holders
+        self.settle()
+
+    def settle(self) -> None:
+        self.text = SPACE.sub(" ", "".join([x for x, _, _ in self.pieces])).strip()
+        self.chars, self.links = len(self.text), sum([x for _, x, _ in self.pieces])
 
 
 class Lines(HTMLParser):
@@ -61,18 +67,19 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # element, dropped, number
         self.lines: list[Line] = []
         self.kinds: dict[int, str] = {}
-        self.buffer: list[str] = []
+        self.buffer: list[tuple[str, int, tuple]] = []
+        self.suspects: tuple = ()  # open elements that their names would drop
         self.counts: dict[str, int] = {}  # open elements by name
-        self.tags = self.links = 0
+        self.tags = 0
 
     def cut(self) -> None:
         if not self.buffer:
             return
-        text = SPACE.sub(" ", "".join(self.buffer)).strip()
-        if text:
-            self.lines.append(Line(text, self.tags, self.links, tuple(n for t, _, n in self.open if t in BLOCK)))
-            self.tags = self.links = 0
-        self.buffer.clear()
+        line = Line(self.buffer, self.tags, tuple(n for t, _, n in self.open if t in BLOCK))
+        if line.text:
+            self.lines.append(line)
+            self.tags = 0
+        self.buffer = []
 
     def dropped(self, tag: str, attrs: list) -> bool:
         if tag in DROPPED:
@@ -87,6 +94,10 @@ class Lines(HTMLParser):
             return True
         if "style" in a and "display:none" in a["style"].replace(" ", "").lower():
             return True
+        return False
+
+    def suspect(self, tag: str, attrs: list) -> bool:
+        a = {k: v or "" for k, v in attrs}
         if tag in HEADINGS or tag in ("html", "body", "main", "header"):
             return False
         if "class" not in a and "id" not in a:
@@ -103,11 +114,13 @@ class Lines(HTMLParser):
             if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
                 self.close_sibling(tag)
         elif tag == "br":
-            self.buffer.append(" ")
+            self.buffer.append((" ", 0, self.suspects))
         if tag in VOID:
             return
         skip = bool(self.open and self.open[-1][1]) or self.dropped(tag, attrs)
         self.open.append((tag, skip, self.tags + 1_000_000 * len(self.kinds)))
+        if attrs and not skip and self.suspect(tag, attrs):
+            self.suspects += (self.open[-1][2],)
         self.kinds[self.open[-1][2]] = tag
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
@@ -135,8 +148,10 @@ class Lines(HTMLParser):
 
     def close_to(self, tag: str) -> None:
         while self.open:
-            t, _, _ = self.open.pop()
+            t, _, n = self.open.pop()
             self.counts[t] -= 1
+            if self.suspects and self.suspects[-1] == n:
+                self.suspects = self.suspects[:-1]
             if t == tag:
                 return
 
@@ -150,9 +165,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][1]:
             return
-        self.buffer.append(data)
-        if self.counts.get("a"):
-            self.links += len(data.strip())
+        self.buffer.append((data, len(data.strip()) if self.counts.get("a") else 0, self.suspects))
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -162,43 +175,95 @@ def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndar
     return np.convolve(ratios, w, "full")[radius:-radius] / np.convolve(np.ones(len(ratios)), w, "full")[radius:-radius]
 
 
-def main_text(html: str, factor: float = 1.0, share: float = 0.6) -> str:
+def curve(lines: list[Line]) -> np.ndarray:
+    return smoothed(np.array([max(0, x.chars - x.links) / max(1, x.tags) for x in lines], float))
+
+
+def threshold(ratio: np.ndarray, factor: float) -> float:
+    return min(factor * ratio.std(), ratio.mean())
+
+
+def without_suspects(lines: list[Line], factor: float, most: float) -> list[Line]:
+    """Lines without the text of suspect elements whose share of the text is below ``most`` or whose ratio is low."""
+    chars: dict[int, int] = {}
+    inside: dict[int, list[int]] = {}
+    total = 0
+    for k, x in enumerate(lines):
+        for text, _, suspects in x.pieces:
+            n = len(text.strip())
+            total += n
+            for e in suspects:
+                chars[e] = chars.get(e, 0) + n
+                inside.setdefault(e, []).append(k)
+    if not chars:
+        return lines
+    ratio = curve(lines)
+    least = threshold(ratio, factor)
+    gone = {e for e, n in chars.items() if n < most * total or ratio[sorted(set(inside[e]))].mean() < least}
+    out, tags = [], 0
+    for x in lines:
+        x.pieces = [y for y in x.pieces if not gone.intersection(y[2])]
+        x.settle()
+        tags += x.tags  # tags of what goes count for the next line
+        if x.text:
+            x.tags, tags = tags, 0
+            out.append(x)
+    return out
+
+
+def main_text(html: str, factor: float = 1.0, share: float = 0.6, most: float = 0.5) -> str:
     """The article's lines joined by newlines; empty if there are none.
 
     ``factor``: the threshold is this many standard deviations of the smoothed ratios (or their mean, if less).
-    ``share``: the innermost element that holds this share of the content, in characters and in lines, is the region,
-    where the page names no article or main element.
+    ``share``: where the page names no article or main element, the short lines of the innermost element that holds
+    this share of the content, in characters and in lines, are kept with all content lines and the lines between.
+    ``most``: elements with suspect names stay if they hold this share of the text at a ratio that is not low.
     """
     p = Lines()
     p.feed(html)
     p.close()
     p.cut()
-    lines = p.lines
+    lines = without_suspects(p.lines, factor, most)
     if not lines:
         return ""
-    ratio = smoothed(np.array([max(0, x.chars - x.links) / max(1, x.tags) for x in lines], float))
-    content = ratio >= min(factor * ratio.std(), ratio.mean())
+    ratio = curve(lines)
+    content = ratio >= threshold(ratio, factor)
     weight = [x.chars - min(x.chars, x.links) if c else 0 for x, c in zip(lines, content)]
     held: dict[int, int] = {}
     for x, w in zip(lines, weight):
         for h in x.holders:
             held[h] = held.get(h, 0) + w
-    named = [h for h in held if p.kinds[h] == "article"] or [h for h in held if p.kinds[h] == "main"]
+    named = [h for h in held if p.kinds[h] in ("article", "main")]
     if named:
-        region = max(named, key=lambda h: (held[h], -h))
-    else:
-        total = sum(weight)
-        deep = {h: k for x in lines for k, h in enumerate(x.holders)}
-        count = {h: 0 for h in held}
-        for x, w in zip(lines, weight):
-            for h in x.holders:
-                count[h] += w > 0
-        some = share * sum(w > 0 for w in weight)
-        fit = [h for h in held if p.kinds[h] in HOLDERS and held[h] >= share * total and count[h] >= some]
-        region = max(fit, key=lambda h: (deep[h], held[h])) if fit else None
-    kept = [x for x in lines if region is None or region in x.holders]
-    if not named:
-        kept = [x for x in kept if 2 * x.links <= x.chars]
+        # all articles with content; of a main that has articles, its own content lines and what lies between
+        whole = {h for h in named if p.kinds[h] == "article" and held[h] > 0}
+        main = {h for h in named if p.kinds[h] == "main" and held[h] > 0}
+        if not whole:
+            whole, main = main or {max(named, key=lambda h: (held[h], -h))}, set()
+        sure = [not whole.isdisjoint(x.holders) for x in lines]
+        some = [w > 0 and not main.isdisjoint(x.holders) and 2 * x.links <= x.chars for x, w in zip(lines, weight)]
+        return "\n".join(x.text for x, a, b in zip(lines, sure, some) if a or b)
+    total = sum(weight)
+    deep = {h: k for x in lines for k, h in enumerate(x.holders)}
+    count = {h: 0 for h in held}
+    for x, w in zip(lines, weight):
+        for h in x.holders:
+            count[h] += w > 0
+    enough = share * sum(w > 0 for w in weight)
+    fit = [h for h in held if p.kinds[h] in HOLDERS and held[h] >= share * total and count[h] >= enough]
+    region = max(fit, key=lambda h: (deep[h], held[h])) if fit else None
+    prose = [2 * x.links <= x.chars for x in lines]
+    sure = [ok and (w > 0 or region is None or region in x.holders) for x, w, ok in zip(lines, weight, prose)]
+    # an element with content lines holds its links and short lines, too, as far as they lie between content lines
+    span: dict[int, tuple[int, int]] = {}
+    for k, (x, w, ok) in enumerate(zip(lines, weight, prose)):
+        inner = next((h for h in reversed(x.holders) if p.kinds[h] in HOLDERS), None)
+        if w > 0 and ok and inner is not None:
+            span[inner] = (span.get(inner, (k, k))[0], k)
+    kept = [
+        x for k, (x, ok) in enumerate(zip(lines, sure))
+        if ok or any(h in span and span[h][0] < k < span[h][1] for h in x.holders)
+    ]
     return "\n".join(x.text for x in kept)
 
 

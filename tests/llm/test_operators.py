@@ -229,6 +229,22 @@ def test_html(spark):
     assert html_text.main_text("<article>" + "<p>long words go here</p>" * 5000).count("\n") == 4999
 
 
+def test_html_keeps_all_of_an_article():
+    para = lambda k, n=3: "".join(f"<p>Part {k} {i} goes on with many words, as the prose of a page does, for a while.</p>" for i in range(n))
+    parts = lambda text: [x for x in text.split("\n") if x.startswith("Part")]
+    text = html_text.main_text
+    menu = "<nav><a href=a>menu</a></nav>"
+    assert len(parts(text(f"<body>{menu}<article>{para(1, 5)}</article><article>{para(2)}</article></body>"))) == 8
+    assert len(parts(text(f"<body><div>{para(1, 13)}</div><div class=ad>Buy this now.</div><div>{para(2, 7)}</div></body>"))) == 20
+    for name in ("layout has-sidebar", "content-sidebar-wrap", "post no-comments"):
+        for tag in ("article", "div"):
+            page = f"<body>{menu}<div class='{name}'><{tag}>{para(1, 5)}</{tag}><div class=sidebar><p>Other words.</p></div></div></body>"
+            assert len(parts(text(page))) == 5 and "Other" not in text(page)
+    link = f"<body><div>{para(1)}<p><a href=x>Linked words only</a></p>{para(2)}</div></body>"
+    assert "Linked words only" in text(link)
+    assert "Cheap" not in text(f"<body>{menu}<article>{para(1, 5)}<p>So <span class=ad>Cheap</span> it goes.</p></article></body>")
+
+
 def test_edit_distance():
     r = random.Random(1)
     for _ in range(2000):
