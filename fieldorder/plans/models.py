@@ -144,19 +144,20 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def order_model(
-    train: DataFrame, columns: Sequence[str], hot: bool | None, steps: int = 25, ridge: float = 0.01
+    train: DataFrame, columns: Sequence[str], hot: bool | None, ridge: float = 0.01, tolerance: float = 1e-4
 ) -> list[float]:
     """Fit the linear order model; each step is one distributed pass, the driver holds only beta.
 
-    Gradient steps with backtracking: halve the step until the loss falls.
+    Gradient steps with backtracking (halve the step until the loss falls), until the gradient's norm is below
+    ``tolerance`` or no step lowers the loss in double precision.
     """
     data = checkpointed(standardised(train, columns).select(*RACE, "finish_position", *columns))
     beta = [0.0] * len(columns)
     row = order_loss_gradient(data, columns, beta, hot, ridge).first()
     size = 1.0
-    for _ in range(steps):
+    while True:
         g = [row[f"d_{c}"] for c in columns]
-        if math.sqrt(sum(v * v for v in g)) < 1e-4 or size < 1e-6:
+        if math.sqrt(sum(v * v for v in g)) < tolerance or size < 1e-6:
             break
         trial = [b - size * v for b, v in zip(beta, g)]
         new = order_loss_gradient(data, columns, trial, hot, ridge).first()

@@ -99,7 +99,7 @@ def ranker(t):
 def regressor(t):
     train, test = split_rows(t)
     train = md.target_position(train, t.hot_contest)
-    return rounded(md.position_regressor(train, test, COLUMNS, trees=5, depth=3), KEY, "predicted")
+    return rounded(md.position_regressor(train, test, COLUMNS), KEY, "predicted")
 
 
 @query("I04_order_loss_gradient", "results",
@@ -117,7 +117,7 @@ def order_gradient(t):
 @query("I04_order_model")
 def order_model(t):
     train, test = split_rows(t)
-    beta = md.order_model(train, COLUMNS, t.hot_contest, steps=8)
+    beta = md.order_model(train, COLUMNS, t.hot_contest)
     z = sum((F.coalesce(F.col(c), F.lit(0.0)) * b for c, b in zip(COLUMNS, beta)), F.lit(0.0))
     return rounded(test.withColumn("score", z), KEY, "score")
 
