@@ -371,6 +371,18 @@ def test_sql(spark, name):
     assert sorted(got.columns) == cols and plain(got) == plain(want)
 
 
+def test_near_stage_goes_by_row(spark, words):
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    a, b, c, e = (" ".join(r.choice(words) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (5, b + " more"), (5, c), (None, e), (None, e), (None, e + " end"), (7, None), (8, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x.doc_id, x.text) for x in p.near_stage(spark, d.repartition(3), SF).collect()]
+    assert len(got) == 6 and {(1, a), (2, b), (5, c), (7, None), (8, "")} < set(got)
+    assert [t for i, t in got if i is None][0] in (e, e + " end")
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
