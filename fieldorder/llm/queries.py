@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldorder.llm import ann, chat, html_text, line_dedup, mixing, ngram_join, packing, quality, tokens, url_filter
+from fieldorder.llm import ann, chat, html_text, lexical, line_dedup, mixing, ngram_join, packing, quality, tokens, url_filter
 from fieldorder.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -130,3 +130,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array(*[F.lit(w) for w in LISTED_WORDS])
     listed = pages.where(F.arrays_overlap(F.split(url_filter.host(), "[.-]"), words))
     return url_filter.judge(pages, listed)
+
+
+SEARCH_SQL = r"""
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents WHERE text IS NOT NULL),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+q AS (SELECT item_id, term, COUNT(*) AS times FROM i GROUP BY item_id, term),
+s AS (SELECT COUNT(*) AS total, CAST(SUM(len(words)) AS BIGINT) AS words FROM t WHERE len(words) > 0),
+p AS MATERIALIZED (
+  SELECT r, doc_id, n, term, COUNT(*) AS tf FROM (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM t) w
+  WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term, total),
+c AS (SELECT r, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // words)) AS part FROM p, s),
+m AS (SELECT item_id, r, doc_id, CAST(SUM(times * weight * part) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN c USING (term) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM m WHERE score > 0 QUALIFY rank <= 20"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
