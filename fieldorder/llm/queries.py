@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldorder.llm import ann, chat, html_text, lexical, line_dedup, mixing, ngram_join, packing, quality, tokens, url_filter
+from fieldorder.llm import ann, chat, html_text, lexical, line_dedup, mixing, ngram_join, packing, quality, syncmers, tokens, url_filter
 from fieldorder.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -156,3 +156,8 @@ FROM m WHERE score > 0 QUALIFY rank <= 20"""
 @query("op11_ranked_search", SEARCH_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_syncmer_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
