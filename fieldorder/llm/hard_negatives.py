@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from fieldorder.llm.common import partitions, written
 
 #: Vector components of a block of rows and of a block of anchors, and scores computed at a time.
-ROW_CELLS, ANCHOR_CELLS, TILE = 4_000_000, 1_000_000, 4_000_000
+ROW_CELLS, ANCHOR_CELLS, TILE = 1_000_000, 1_000_000, 4_000_000
 
 #: Scores are held between the ends of a long.
 TOP = 2**63 - 1

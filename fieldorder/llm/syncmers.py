@@ -73,11 +73,11 @@ def _selected(points: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarra
 
 
 def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(starts, hashes) of every text's anchors, ascending; a text shorter than k is one anchor, an empty one none.
+    """(starts, hashes) of every text's anchors, ascending; a text too short to have one is an anchor, an empty one none.
 
     Short texts are hashed together and long ones in stretches that overlap by k - 1: the anchors are the same.
     """
-    out: list = [None] * len(texts)
+    out: list = [(np.empty(0, np.int64), np.empty(0, np.uint32))] * len(texts)
     held: list[tuple[int, np.ndarray]] = []
 
     def run():
@@ -92,9 +92,8 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray,
     size = 0
     for i, text in enumerate(texts):
         if len(text) < k:
-            raw = text.encode("utf-8", "surrogatepass")
-            out[i] = (np.zeros(int(text != ""), np.int64), np.array([xxhash.xxh32_intdigest(raw)] if text else [], np.uint32))
-        elif len(text) > SEGMENT // 2:
+            continue
+        if len(text) > SEGMENT // 2:
             parts = []
             for begin in range(0, len(text) - k + 1, SEGMENT - k + 1):
                 at, hashes = _selected(_points(text[begin : begin + SEGMENT]), k, s)
@@ -108,6 +107,10 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> list[tuple[np.ndarray,
             size += len(text)
     if held:
         run()
+    for i, text in enumerate(texts):
+        if text and not len(out[i][0]):
+            raw = text.encode("utf-8", "surrogatepass")
+            out[i] = (np.zeros(1, np.int64), np.array([xxhash.xxh32_intdigest(raw)], np.uint32))
     return out
 
 
@@ -165,11 +168,11 @@ def edited_anchors(text: str, own: tuple, after: str, later: tuple, k: int = K,
     """Anchors of ``edited(text, after)`` from those of both texts: only stretches across the seam are hashed."""
     half = len(text) // 2
     keep, taken = len(text) - half, min(half, len(after))
-    if keep + taken < k or len(text) < k or (taken and len(after) < k):
+    if min(keep + taken, len(text), len(after)) < 2 * k:  # one of them may be too short to have anchors
         return anchors([edited(text, after)], k, s)[0]
     begin = max(0, keep - k + 1)
     seam = text[begin:keep] + after[: min(taken, k - 1)]
-    at, hashes = anchors([seam], k, s)[0] if len(seam) >= k and taken else (np.empty(0, np.int64), np.empty(0, np.uint32))
+    at, hashes = _selected(_points(seam), k, s)
     left, right = np.searchsorted(own[0], keep - k, "right"), np.searchsorted(later[0], taken - k, "right")
     return np.concatenate([own[0][:left], at + begin, later[0][:right] + keep]), np.concatenate([own[1][:left], hashes, later[1][:right]])
 
