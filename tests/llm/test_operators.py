@@ -278,6 +278,9 @@ def test_line_dedup(spark, words):
     close = np.bitwise_count(np.bitwise_xor(*line_dedup.simhashes([list(set(x.encode().split())) for x in (near, long[0])]).view(np.uint64))).sum() <= 26
     assert alike and close
     assert text[3] in (f"{long[3]}\n---", rows[2][1])
+    clash = line_dedup.dedup_lines(d.toDF("doc_id", "text", "_row").withColumn("g", F.lit(1)).withColumn("_gone", F.lit(2)))
+    assert clash.columns == ["doc_id", "text", "_row", "g", "_gone", "n_lines", "n_removed"]
+    assert {(x.doc_id, x.text, x._row, x.g, x._gone) for x in clash.collect()} == {(x.doc_id, x.text, x.n_lines, 1, 2) for x in out.collect()}
     assert line_dedup.dedup_lines(d.where("false")).count() == 0
 
 
