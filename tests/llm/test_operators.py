@@ -275,7 +275,7 @@ def test_line_dedup(spark, words):
     assert text[1] == rows[1][1] and text[2] == "---\n" + long[1] and text[4] == long[4] and text[5] is None and text[6] == ""
     assert text[7] == long[5] and text[None] == "" and text[8] == "" and out.count() == 10
     alike = line_dedup.alike(near.encode().split(), long[0].encode().split(), 80)
-    close = np.bitwise_count(np.bitwise_xor(*line_dedup.simhashes([list(set(x.encode().split())) for x in (near, long[0])]).view(np.uint64))).sum() <= 26
+    close = np.bitwise_count(np.bitwise_xor(*line_dedup.simhashes(line_dedup.Words([list(set(x.encode().split())) for x in (near, long[0])])).view(np.uint64))).sum() <= 26
     assert alike and close
     assert text[3] in (f"{long[3]}\n---", rows[2][1])
     clash = line_dedup.dedup_lines(d.toDF("doc_id", "text", "_row").withColumn("g", F.lit(1)).withColumn("_gone", F.lit(2)))
@@ -284,6 +284,19 @@ def test_line_dedup(spark, words):
     assert line_dedup.dedup_lines(d.where("false")).count() == 0
 
 
+def test_line_groups_of_many_copies(spark, words, monkeypatch):
+    r = random.Random(9)
+    monkeypatch.setattr(line_dedup, "PACKED", 2000)
+    base, part = [r.choice(words) for _ in range(30)], [r.choice(words) for _ in range(12)]
+    lines = [base[:k] + [r.choice(words)] + base[k + 1 :] for k in [*range(30)] * 4]  # a large group of near copies
+    lines += [part + [r.choice(words) for _ in range(18)] for _ in range(60)]  # a passage in lines that differ
+    r.shuffle(lines)
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in line_dedup.dedup_lines(d).collect() if x.text}
+    copies = [i for i, x in enumerate(lines) if x[:12] != part]
+    assert kept == set(range(len(lines))) - set(copies[1:])
+
+
 @pytest.mark.parametrize("percent", [80, 60])
 def test_line_groups_are_those_of_brute_force(spark, words, percent):
     r = random.Random(8)
@@ -307,6 +320,10 @@ def test_line_groups_are_those_of_brute_force(spark, words, percent):
             group[i] = group[j] = min(group[i], group[j])
         if group == before:
             break
+    for (i, j) in r.sample(pairs, 100):
+        a, b = line_dedup.parities(line_dedup.Words([split[i], split[j]])).view(np.uint64)
+        n, m = len(split[i]), len(split[j])
+        assert np.bitwise_count(a ^ b).sum() <= 2 * (max(n, m) - -(-percent * max(n, m) // 100)) - abs(n - m)
     d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
     kept = {x.doc_id for x in line_dedup.dedup_lines(d, percent).collect() if x.text}
     assert len(pairs) > 200 and kept == set(group)
