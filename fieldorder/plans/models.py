@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldorder.operators.grouping import checkpointed, with_index, with_totals
 from fieldorder.operators.market import logit
+from fieldorder.plans.newton import equations, logistic_moments, newton, order_moments
 
 RACE = ["year", "round"]
 
@@ -24,24 +22,44 @@ def _assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol="_raw").transform(filled).drop(*inputs)
 
 
-def _probability(scored: DataFrame, out: str) -> DataFrame:
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+def _scaled(df: DataFrame, columns: Sequence[str], stats: dict[str, float]) -> DataFrame:
+    """(x - mean) / deviation of the training rows, missing values as 0 before; a constant column is only shifted."""
+    x = {c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in columns}
+    return df.withColumns({f"_x_{c}": v for c, v in x.items()}).withColumn("_x_1", F.lit(1.0))
+
+
+class FinishFit:
+    """Weighted logistic regression of finishing on standardised columns, unit ridge on all but the intercept."""
+
+    def __init__(self, train: DataFrame, columns: Sequence[str], weight: str | None = None):
+        filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+        parts = [f(x).alias(f"{n}_{c}") for c, x in zip(columns, filled) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+        total = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
+        self.stats = train.agg(*parts, total.cast("double").alias("total")).first().asDict()
+        self.columns, self.weight = list(columns), weight
+        self.inputs = ["_x_1", *[f"_x_{c}" for c in columns]]
+        d = _scaled(train, columns, self.stats).withColumn("_y", F.coalesce((F.col("dnf") == 0).cast("double"), F.lit(1.0)))
+        self.data = checkpointed(d.select("_y", *[F.col(weight).alias("_weight")] if weight else [], *self.inputs))
+        # a penalty of |b|^2 / 2 on the summed loss is 1 / total on the mean loss
+        self.ridge = [0.0, *[1.0 / (self.stats["total"] or 1.0)] * len(columns)]
+        self.beta, self.passes = newton(self.moments, self.inputs, self.ridge)
+
+    def moments(self, beta: Sequence[float]) -> DataFrame:
+        return logistic_moments(self.data, self.inputs, beta, "_y", "_weight" if self.weight else None)
+
+    def predict(self, test: DataFrame, out: str) -> DataFrame:
+        z = sum((F.col(c) * float(b) for c, b in zip(self.inputs, self.beta)), F.lit(0.0))
+        return _scaled(test, self.columns, self.stats).withColumn(out, 1 / (1 + F.exp(-z))).drop(*self.inputs)
+
+    def equations(self) -> DataFrame:
+        return equations(self.moments(self.beta), self.inputs, self.ridge, self.beta)
 
 
 def finish_model(
     train: DataFrame, test: DataFrame, columns: Sequence[str], weight: str | None = None, out: str = "p_finish"
 ) -> DataFrame:
-    """P(finish): standardised columns (missing = 0), weighted logistic regression, unit ridge."""
-    d = _assembled(train, columns).withColumn("_y", (F.col("dnf") == 0).cast("double"))
-    scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(d)
-    d = scaler.transform(d)
-    total = d.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).first()[0]
-    # a penalty of |w|^2 / 2 on the summed loss is 1 / total on the mean loss
-    fit = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / float(total), standardization=False, maxIter=100)
-    if weight:
-        fit = fit.setWeightCol(weight)
-    scored = fit.fit(d).transform(scaler.transform(_assembled(test, columns)))
-    return _probability(scored, out).drop("_raw", "_x")
+    """P(finish) of the test rows by a FinishFit on the training rows."""
+    return FinishFit(train, columns, weight).predict(test, out)
 
 
 def top_pairs(df: DataFrame, columns: Sequence[str], top: int, hot: bool | None, weight: str | None = None) -> DataFrame:
@@ -68,19 +86,34 @@ def top_pairs(df: DataFrame, columns: Sequence[str], top: int, hot: bool | None,
     )
 
 
+class RankerFit:
+    """Linear ranker: logistic regression on feature differences of ``top_pairs``, no intercept, ridge on the mean loss."""
+
+    def __init__(
+        self, train: DataFrame, columns: Sequence[str], hot: bool | None, weight: str | None = None, top: int = 5, ridge: float = 1e-3
+    ):
+        self.pairs = checkpointed(top_pairs(train, columns, top, hot, weight))
+        self.columns, self.ridge = list(columns), [ridge] * len(columns)
+        self.beta, self.passes = newton(self.moments, self.columns, self.ridge)
+
+    def moments(self, beta: Sequence[float]) -> DataFrame:
+        return logistic_moments(self.pairs, self.columns, beta, "label", "weight")
+
+    def predict(self, test: DataFrame, out: str) -> DataFrame:
+        parts = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * float(b) for c, b in zip(self.columns, self.beta)]
+        return test.withColumn(out, sum(parts, F.lit(0.0)))
+
+    def equations(self) -> DataFrame:
+        return equations(self.moments(self.beta), self.columns, self.ridge, self.beta)
+
+
 def ranker(
     train: DataFrame, test: DataFrame, columns: Sequence[str], hot: bool | None, weight: str | None = None,
     top: int = 5, out: str = "score", ridge: float = 1e-3,
 ) -> tuple[DataFrame, list[float]]:
-    """Linear ranker: logistic regression on feature differences, no intercept."""
-    pairs = top_pairs(train, columns, top, hot, weight)
-    x = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(pairs)
-    fit = LogisticRegression(
-        featuresCol="_x", labelCol="label", weightCol="weight", fitIntercept=False, regParam=ridge, maxIter=100
-    ).fit(x)
-    w = [float(v) for v in fit.coefficients]
-    score = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * v for c, v in zip(columns, w)), F.lit(0.0))
-    return test.withColumn(out, score), w
+    """Scores of the test rows by a RankerFit on the training rows, and its coefficients."""
+    fit = RankerFit(train, columns, hot, weight, top, ridge)
+    return fit.predict(test, out), fit.beta
 
 
 def position_regressor(
@@ -143,39 +176,34 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return d.withColumns(z).drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 
+class OrderFit:
+    """Linear order model: Newton steps on the exact mean top-3 loss of standardised columns with a ridge."""
+
+    def __init__(self, train: DataFrame, columns: Sequence[str], ridge: float = 0.01, tolerance: float = 1e-9):
+        self.data = checkpointed(standardised(train, columns).select(*RACE, "finish_position", *columns))
+        self.columns, self.ridge = list(columns), [ridge] * len(columns)
+        self.beta, self.passes = newton(self.moments, self.columns, self.ridge, tolerance)
+
+    def moments(self, beta: Sequence[float]) -> DataFrame:
+        return order_moments(self.data, self.columns, beta)
+
+    def equations(self) -> DataFrame:
+        return equations(self.moments(self.beta), self.columns, self.ridge, self.beta)
+
+
 def order_model(
-    train: DataFrame, columns: Sequence[str], hot: bool | None, ridge: float = 0.01, tolerance: float = 1e-4
+    train: DataFrame, columns: Sequence[str], hot: bool | None = None, ridge: float = 0.01, tolerance: float = 1e-9
 ) -> list[float]:
-    """Fit the linear order model; each step is one distributed pass, the driver holds only beta.
-
-    Gradient steps with backtracking (halve the step until the loss falls), until the gradient's norm is below
-    ``tolerance`` or no step lowers the loss in double precision.
-    """
-    data = checkpointed(standardised(train, columns).select(*RACE, "finish_position", *columns))
-    beta = [0.0] * len(columns)
-    row = order_loss_gradient(data, columns, beta, hot, ridge).first()
-    size = 1.0
-    while True:
-        g = [row[f"d_{c}"] for c in columns]
-        if math.sqrt(sum(v * v for v in g)) < tolerance or size < 1e-6:
-            break
-        trial = [b - size * v for b, v in zip(beta, g)]
-        new = order_loss_gradient(data, columns, trial, hot, ridge).first()
-        if new["loss"] < row["loss"]:
-            beta, row, size = trial, new, size * 1.5
-        else:
-            size /= 2.0
-    return beta
+    """Coefficients of an OrderFit. Contests are aggregated map-side, so their size (``hot``) does not matter."""
+    return OrderFit(train, columns, ridge, tolerance).beta
 
 
 def calibration_slope(df: DataFrame, p: Column, y: Column) -> DataFrame:
     """Logistic fit y ~ a + b * logit(p); a and b near 0 and 1 mean calibrated."""
-    d = df.select(logit(p).alias("_l"), y.cast("double").alias("label")).where("_l is not null and label is not null")
-    d = VectorAssembler(inputCols=["_l"], outputCol="features").transform(d)
-    fit = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-9, standardization=False).fit(d)
-    return df.sparkSession.createDataFrame(
-        [(float(fit.intercept), float(fit.coefficients[0]))], "cal_intercept double, cal_slope double"
-    )
+    d = df.select(logit(p).alias("slope"), F.lit(1.0).alias("one"), y.cast("double").alias("label"))
+    d = checkpointed(d.where("slope is not null and label is not null"))
+    (a, b), _ = newton(lambda beta: logistic_moments(d, ["one", "slope"], beta, "label"), ["one", "slope"], [0.0, 0.0])
+    return df.sparkSession.createDataFrame([(a, b)], "cal_intercept double, cal_slope double")
 
 
 def mean_scores(frames: Sequence[DataFrame], keys: Sequence[str], score: str) -> DataFrame:

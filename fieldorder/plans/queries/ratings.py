@@ -2,15 +2,20 @@
 
 from pyspark.sql import functions as F
 
+from fieldorder.functions import fixed_values as fv
+from fieldorder.functions.lookups import is_street, safety_car_rate
 from fieldorder.operators import features as ft
 from fieldorder.operators import field as fd
 from fieldorder.operators import ratings as rt
+from fieldorder.operators.grouping import join_groups
+from fieldorder.operators.scoring import recency_weights
 from fieldorder.plans import models as md
 from fieldorder.plans.queries.field import GAPS
 from fieldorder.plans.queries.history import KEY, rounded, sizes
 from fieldorder.plans.queries.ingest import FUTURE, remaining
 from fieldorder.plans.queries.probability import GRID, MODEL, nll_sql, scored
 from fieldorder.plans.registry import query
+from fieldorder.plans.venues import venue_name
 
 RACE = ["year", "round"]
 LEAGUE = ["league", "year", "round"]
@@ -73,33 +78,67 @@ def rating_as_of(t):
 
 
 def split_rows(t):
+    """Rows before 2000 (with recency weights of their seasons) and from 2000 on, with all columns of the finish model."""
     s = sizes(t)
     d = ft.grid_relative(ft.pit_lane_to_back(t.results, s), s)
     d = ft.dnf_rate(ft.experience(d, s), s)
-    return d.where("year < 2000"), d.where("year >= 2000")
+    d = join_groups(d, ft.team_reliability(t.results, s), ft.TEAM_CONTEST)
+    wet = t.weather.select(*RACE, (F.col("precip_tenths_mm") / 10.0).alias("precip_mm_total"), F.col("is_wet").alias("is_wet_race"))
+    d = d.join(wet, RACE, "left").withColumn("_venue", venue_name(F.col("venue")))
+    d = d.withColumn("is_street_circuit", is_street(F.col("_venue"))).withColumn("circuit_safety_car_rate", safety_car_rate(F.col("_venue")))
+    train, test = d.drop("_venue").where("year < 2000"), d.drop("_venue").where("year >= 2000")
+    return train.join(recency_weights(t.results.where("year < 2000")), "year"), test
 
 
-COLUMNS = ["grid_position_rel", "dnf_rate", "driver_experience_norm"]
+COLUMNS = fv.FINISH_COLUMNS
+
+
+def score_sql(names, n):
+    return f"SELECT column_name, n, CAST(0 AS DOUBLE) AS equation FROM (SELECT unnest({names}) AS column_name), ({n})"
+
+
+def score_rows(d):
+    return d.select("column_name", "n", (F.round("equation", 6) + 0.0).alias("equation"))
 
 
 @query("I01_finish_model")
 def finish_model(t):
     train, test = split_rows(t)
-    return rounded(md.finish_model(train, test, COLUMNS), KEY, "p_finish")
+    return rounded(md.finish_model(train, test, COLUMNS, "weight"), KEY, "p_finish")
+
+
+@query("I01_score_equations", "results",
+       sql=score_sql(["_x_1", *[f"_x_{c}" for c in COLUMNS]], "SELECT CAST(count(*) AS BIGINT) AS n FROM results WHERE year < 2000"))
+def finish_equations(t):
+    """The weighted score equations of the fitted finish model, and the sum of its weights (mean 1)."""
+    d = md.FinishFit(split_rows(t)[0], COLUMNS, "weight").equations()
+    return score_rows(d.withColumn("n", F.round("n").cast("long")))
 
 
 @query("I02_ranker")
 def ranker(t):
     train, test = split_rows(t)
-    scores, _ = md.ranker(train, test, COLUMNS, t.hot_contest)
+    scores, _ = md.ranker(train, test, COLUMNS, t.hot_contest, "weight")
     return rounded(scores, KEY, "score")
 
 
+@query("I02_score_equations", "results",
+       sql=f"""f AS (SELECT year, round, row_number() OVER (PARTITION BY year, round ORDER BY finish_position, entrant) AS k FROM results
+  WHERE year < 2000 AND dnf = 0 AND finish_position IS NOT NULL),
+y AS (SELECT year, count(*) AS c, 0.65 + 0.7 * (row_number() OVER (ORDER BY year) - 1) / (count(*) OVER () - 1) AS a FROM results WHERE year < 2000 GROUP BY year),
+w AS (SELECT year, a / (SELECT sum(a * c) / sum(c) FROM y) AS w FROM y),
+p AS (SELECT round(sum(w * least(k - 1, 5)), 6) AS n FROM f JOIN w USING (year)) {score_sql(COLUMNS, "SELECT n FROM p")}""")
+def ranker_equations(t):
+    """The score equations of the fitted ranker, and the weight of all its pairs."""
+    d = md.RankerFit(split_rows(t)[0], COLUMNS, t.hot_contest, "weight").equations()
+    return score_rows(d.withColumn("n", F.round("n", 6)))
+
+
 @query("I03_position_regressor")
 def regressor(t):
     train, test = split_rows(t)
     train = md.target_position(train, t.hot_contest)
-    return rounded(md.position_regressor(train, test, COLUMNS), KEY, "predicted")
+    return rounded(md.position_regressor(train, test, COLUMNS, "weight"), KEY, "predicted")
 
 
 @query("I04_order_loss_gradient", "results",
@@ -117,11 +156,19 @@ def order_gradient(t):
 @query("I04_order_model")
 def order_model(t):
     train, test = split_rows(t)
-    beta = md.order_model(train, COLUMNS, t.hot_contest)
-    z = sum((F.coalesce(F.col(c), F.lit(0.0)) * b for c, b in zip(COLUMNS, beta)), F.lit(0.0))
+    beta = md.order_model(train, COLUMNS)
+    z = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * b for c, b in zip(COLUMNS, beta)), F.lit(0.0))
     return rounded(test.withColumn("score", z), KEY, "score")
 
 
+@query("I04_score_equations", "results",
+       sql=score_sql(COLUMNS, """SELECT count(*) AS n FROM (SELECT year, round FROM results WHERE year < 2000 GROUP BY 1, 2
+  HAVING count(DISTINCT finish_position) FILTER (finish_position BETWEEN 1 AND 3) = 3)"""))
+def order_equations(t):
+    """The score equations of the fitted order model, and its contests."""
+    return score_rows(md.OrderFit(split_rows(t)[0], COLUMNS).equations())
+
+
 @query("I05_mean_scores", "results",
        sql="SELECT year, round, entrant, round((quali_position * 0.5 + points + coalesce(grid_position, 0) * 2.0) / 3, 6) AS score FROM results")
 def mean_scores(t):

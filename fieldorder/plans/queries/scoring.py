@@ -476,8 +476,14 @@ def skew(t):
     return sc.feature_skew(t.results, served, KEY, ["points", "grid_position"], "entrant")
 
 
-@query("H20_calibration_slope", "results")
+@query("H20_calibration_slope", "results",
+       sql=f"""{PROBS}, d AS MATERIALIZED (SELECT ln(c / (1 - c)) AS x, CAST(podium AS DOUBLE) AS y FROM (SELECT least(greatest(p_podium, 1e-4), 1 - 1e-4) AS c, podium FROM pw)),
+nw AS (WITH RECURSIVE f AS (SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL SELECT k + 1, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  FROM (SELECT k, a, b, sum(y - q) AS g1, sum((y - q) * x) AS g2, sum(q * (1 - q)) AS h11, sum(q * (1 - q) * x) AS h12, sum(q * (1 - q) * x * x) AS h22
+    FROM (SELECT f.*, x, y, 1 / (1 + exp(-(f.a + f.b * x))) AS q FROM f, d WHERE f.k < 30) GROUP BY k, a, b)) SELECT * FROM f)
+SELECT round(a, 6) AS cal_intercept, round(b, 6) AS cal_slope FROM nw ORDER BY k DESC LIMIT 1""")
 def slope(t):
     from fieldorder.plans.models import calibration_slope
 
-    return calibration_slope(probs(t), F.col("p_podium"), F.col("podium"))
+    return rounded(calibration_slope(probs(t), F.col("p_podium"), F.col("podium")), [], "cal_intercept", "cal_slope")
