@@ -158,6 +158,36 @@ def with_prefix(
     return s.select(*[F.col(c) for c in df.columns], *cols)
 
 
+def with_nearby(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, before: str, after: str, hot: bool | None = None,
+) -> DataFrame:
+    """The last value that is not null up to each row of its group, and the first one behind it.
+
+    Split, a group runs over several sorted partitions: what one of them ends (begins) with is carried to the next
+    (one before) as one row per group and partition.
+    """
+    v = df.withColumn("_v", value)
+    back, ahead = (Window.unboundedPreceding, Window.currentRow), (1, Window.unboundedFollowing)
+    if keys and not is_hot(df, keys, hot):
+        w = Window.partitionBy(*keys).orderBy(*_names(order))
+        d = v.withColumn(before, F.last("_v", True).over(w.rowsBetween(*back)))
+        return d.withColumn(after, F.first("_v", True).over(w.rowsBetween(*ahead))).drop("_v")
+    every = [*keys, "_one"]
+    s = _runs(v.withColumn("_one", F.lit(0)), every, order)
+    at = F.when(F.col("_v").isNotNull(), F.col("_gid"))
+    ends = s.groupBy(*every, "_run").agg(F.max_by("_v", at).alias("_z"), F.min_by("_v", at).alias("_a"))
+    w = Window.partitionBy(*every).orderBy("_run")  # one row per group and partition
+    ends = ends.select(
+        *every, "_run", F.last("_z", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"),
+        F.first("_a", True).over(w.rowsBetween(*ahead)).alias("_to"),
+    )
+    d = join_groups(s, ends, [*every, "_run"])
+    w = Window.partitionBy(*every, "_run").orderBy("_gid")
+    d = d.withColumn(before, F.coalesce(F.last("_v", True).over(w.rowsBetween(*back)), "_from"))
+    d = d.withColumn(after, F.coalesce(F.first("_v", True).over(w.rowsBetween(*ahead)), "_to"))
+    return d.drop("_v", "_one", "_gid", "_run", "_from", "_to")
+
+
 def with_rank(
     df: DataFrame,
     keys: Sequence[str],

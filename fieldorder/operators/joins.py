@@ -1,19 +1,21 @@
 """Joins beyond plain equality: bucketed range and as-of joins, theta counts, lookups, aligned diffs.
 
-Range conditions are turned into equi-joins on coarse buckets, so no join falls back to comparing
-everything with everything, and a hot key is spread over its buckets.
+Range conditions are turned into equi-joins on aligned blocks or into one ordered sweep, so no join falls back to
+comparing everything with everything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldorder.operators.features import CONTEST, Sizes
-from fieldorder.operators.grouping import is_hot, join_groups, with_prefix, with_rank, with_totals
+from fieldorder.operators.grouping import join_groups, with_nearby, with_prefix, with_rank, with_totals
 
 #: A lookup table is broadcast up to this many rows.
 LOOKUP_ROWS = 200_000
@@ -34,116 +36,142 @@ def category_codes(df: DataFrame, seen: DataFrame, column: str, out: str) -> Dat
     return df.join(codes, column, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
 
 
-def interval_join(
-    points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, width: int,
-    how: str = "left",
+def _sweep(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, value: Sequence[str], tie: str, hot: bool | None, side: int = 1,
 ) -> DataFrame:
-    """Rows of ``points`` with every span of the same key that covers ``at`` (both ends count).
+    """Left rows with ``_before`` and ``_after``: the right rows next to them in time, per key.
 
-    A span is listed under each bucket of ``width`` it touches; a point looks into one bucket.
-    Columns of spans other than the keys must have their own names.
+    Both sides go through one ordered pass that carries the right row met last. Right rows at a left row's time count
+    as before it (``side`` 1) or after it (-1). Rows without a time or a key meet nothing.
     """
-    lo, hi = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
-    listed = spans.where(F.col(end) >= F.col(start)).withColumn("_b", F.explode(F.sequence(lo, hi)))
-    p = points.withColumn("_b", F.floor(F.col(at) / width))
-    right = listed.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "_b"]})
-    cond = (p["_b"] == right["_r__b"]) & (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
+    known = F.col(when).isNotNull()
     for k in keys:
-        cond = cond & (p[k] == right[f"_r_{k}"])
-    return p.join(right, cond, how).drop("_b", *[f"_r_{k}" for k in [*keys, "_b"]])
+        known = known & F.col(k).isNotNull()
+    marks = right.where(known).select(
+        *keys, F.col(when).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.struct(when, *value).alias("_m"),
+        F.lit(None).cast(left.schema).alias("_l"),
+    )
+    asks = left.select(
+        *keys, F.col(at).alias("_t"), F.lit(side).alias("_side"), F.lit(None).cast(marks.schema["_tie"].dataType).alias("_tie"),
+        F.lit(None).cast(marks.schema["_m"].dataType).alias("_m"), F.struct(*left.columns).alias("_l"),
+    )
+    u = with_nearby(marks.unionByName(asks), keys, ["_t", "_side", "_tie"], F.col("_m"), "_before", "_after", hot)
+    timed = F.col("_t").isNotNull()
+    return u.where(F.col("_l").isNotNull()).select("_l.*", *[F.when(timed, F.col(c)).alias(c) for c in ("_before", "_after")])
 
 
 def asof(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, value: Sequence[str], tie: str,
-    row: Sequence[str], hot: bool | None, forward: bool = False,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, value: Sequence[str], tie: str, hot: bool | None,
+    forward: bool = False,
 ) -> DataFrame:
-    """The last right row at or before each left row (forward: the first at or after), per key.
+    """``match``: the last right row at or before each left row (forward: the first at or after), per key.
 
-    Both sides go through one ordered running count: a left row's count of right rows so far is the
-    number of its match, which is then an equality join. No pair of rows is ever compared, and a
-    hot key is split by the running count. Left rows without a match get nulls.
+    Of right rows of one time the largest ``tie`` counts (forward: the smallest). Left rows without a match get nulls;
+    repeated left rows stay as they are.
     """
-    turn = -1 if forward else 1
-    marks = right.where(F.col(when).isNotNull()).select(
-        *keys, (F.col(when) * turn).alias("_t"), F.lit(0).alias("_side"), (F.col(tie).cast("bigint") * turn).alias("_tie"),
-        F.col(when).alias("_when"), F.struct(F.col(when), *value).alias("_m"), F.lit(None).cast("string").alias("_row"),
-    )
-    ident = F.to_json(F.struct(*row))
-    asks = left.select(
-        *keys, (F.col(at) * turn).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_tie"),
-        F.lit(None).cast(dict(right.dtypes)[when]).alias("_when"), F.lit(None).cast(marks.schema["_m"].dataType).alias("_m"),
-        ident.alias("_row"),
-    )
-    u = marks.unionByName(asks).withColumn("_one", F.lit(0))
-    mark = F.when(F.col("_side") == 0, 1).otherwise(0)
-    u = with_prefix(u, [*keys, "_one"], ["_t", "_side", "_tie", "_row"], {"_k": mark}, hot, inclusive=True)
-    numbered = u.where("_side = 0").select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_k").alias("_nth"), "_m")
-    asked = u.where("_side = 1").select(*keys, "_k", "_row").alias("a")
-    cond = F.col("_k") == F.col("_nth")
-    for k in keys:
-        cond = cond & (F.col(f"a.{k}") == F.col(f"_r_{k}"))
-    found = asked.join(numbered, cond, "left").select("_row", F.col("_m").alias("match"))
-    return left.withColumn("_row", ident).join(found, "_row", "left").drop("_row")
+    d = _sweep(left, right, keys, at, when, value, tie, hot, -1 if forward else 1)
+    return d.select(*left.columns, F.col("_after" if forward else "_before").alias("match"))
 
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, value: Sequence[str],
-    tie: str, within: int, row: Sequence[str], hot: bool | None = None,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, when: str, value: Sequence[str], tie: str, within: int,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Columns of the latest right row with at - within < when <= at."""
-    d = asof(left, right, keys, at, when, value, tie, row, hot)
+    d = asof(left, right, keys, at, when, value, tie, hot)
     near = F.col(f"match.{when}") > F.col(at) - within
     return d.select(*left.columns, *[F.when(near, F.col(f"match.{c}")).alias(c) for c in (when, *value)])
 
 
-def nearest(
-    left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, row: Sequence[str], hot: bool | None = None
-) -> DataFrame:
+def _neighbours(left: DataFrame, right: DataFrame, at: str, when: str, pick: str, hot: bool | None) -> DataFrame:
+    """Left rows with the smallest ``pick`` of the last time up to them (_before) and of the next one (_after).
+
+    A right side counted small is looked up by binary search, and the left side does not move at all.
+    """
+    r = right.where(F.col(when).isNotNull() & F.col(pick).isNotNull()).groupBy(when).agg(F.min(pick).alias(pick))
+    if hot or r.limit(LOOKUP_ROWS + 1).count() > LOOKUP_ROWS:
+        return _sweep(left, r, [], at, when, [pick], pick, hot)
+    found = sorted((x[when], x[pick]) for x in r.collect())  # at most LOOKUP_ROWS
+    table = left.sparkSession.sparkContext.broadcast([np.array(c, np.int64) for c in zip(*found)] or [np.empty(0, np.int64)] * 2)
+    kinds = {n: dict(r.dtypes)[n] for n in (when, pick)}
+
+    def look(step: int):
+        @F.pandas_udf("struct<t: bigint, p: bigint>")
+        def place(t: pd.Series) -> pd.DataFrame:
+            times, picks = table.value
+            asked = t.isna().to_numpy()
+            i = np.searchsorted(times, t.fillna(0).to_numpy(np.int64), "right") - 1 + step
+            none = asked | (i < 0) | (i >= len(times))
+            i = np.where(none, 0, i)
+            value = lambda a: pd.Series(a[i] if len(a) else i).astype("Int64").mask(none)
+            return pd.DataFrame({"t": value(times), "p": value(picks)})
+
+        return place(F.col(at).cast("bigint"))
+
+    d = left.withColumn("_b", look(0)).withColumn("_a", look(1))
+    named = lambda c: F.when(F.col(f"{c}.t").isNotNull(), F.struct(F.col(f"{c}.t").cast(kinds[when]).alias(when), F.col(f"{c}.p").cast(kinds[pick]).alias(pick)))
+    return d.select(*left.columns, named("_b").alias("_before"), named("_a").alias("_after"))
+
+
+def nearest(left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, hot: bool | None = None) -> DataFrame:
     """The right row closest in time, at most ``within`` away (ties: smaller ``pick``)."""
-    back = asof(left, right, [], at, when, [pick], pick, row, hot).withColumnRenamed("match", "_b")
-    both = asof(back, right, [], at, when, [pick], pick, row, hot, forward=True).withColumnRenamed("match", "_f")
 
     def offer(m: str) -> Column:
         gap = F.abs(F.col(f"{m}.{when}") - F.col(at))
         return F.when(gap <= within, F.struct(gap.alias("gap"), F.col(f"{m}.{pick}").alias("pick")))
 
-    best = F.least(offer("_b"), offer("_f"))
-    return both.select(*left.columns, best["pick"].alias(pick))
+    d = _neighbours(left, right, at, when, pick, hot)
+    return d.select(*left.columns, F.least(offer("_before"), offer("_after"))["pick"].alias(pick))
 
 
-def first_after(
-    left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, row: Sequence[str], hot: bool | None = None
-) -> DataFrame:
-    """The first right row with 0 <= when - at <= within."""
-    d = asof(left, right, [], at, when, [pick], pick, row, hot, forward=True)
-    near = F.col(f"match.{when}") - F.col(at) <= within
-    return d.select(*left.columns, F.when(near, F.col(f"match.{pick}")).alias(pick))
+def first_after(left: DataFrame, right: DataFrame, at: str, when: str, pick: str, within: int, hot: bool | None = None) -> DataFrame:
+    """The first right row with 0 <= when - at <= within (ties: smaller ``pick``)."""
+    d = _neighbours(left, right, at, when, pick, hot)
+    now = F.col(f"_before.{when}") == F.col(at)
+    near = F.col(f"_after.{when}") - F.col(at) <= within
+    return d.select(*left.columns, F.when(now, F.col(f"_before.{pick}")).when(near, F.col(f"_after.{pick}")).alias(pick))
+
+
+def aligned_blocks(start: Column, end: Column, levels: int) -> Column:
+    """The fewest aligned blocks that make up the whole numbers from start to end: (level, block) of 2^level each.
+
+    At every level at most the first and the last block are open to the level above, so there are two a level at most.
+    """
+    found = []
+    for k in range(levels):
+        low = -F.shiftright(-start, k)  # rounded up
+        high = F.shiftright(end + 1, k)
+        for odd, block in ((low, low), (high, high - 1)):
+            taken = (low < high) & (odd.bitwiseAND(F.lit(1).cast("bigint")) == 1)
+            found.append(F.when(taken, F.struct(F.lit(k).alias("level"), block.alias("block"))))
+    return F.array_compact(F.array(*found))
 
 
 def covering_span(
-    points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, value: Sequence[str],
-    tie: str, width: int, row: Sequence[str], hot: bool | None = None,
+    points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str, value: Sequence[str], tie: str
 ) -> DataFrame:
-    """The span of the same key that covers ``at``; of several the one that starts last.
+    """The span of the same key that covers ``at``; of several the one that starts last, then the largest ``tie``.
 
-    With small keys: the bucketed range join and one aggregate. With a large key the last span to
-    start is found by the as-of join first and nearly always is the answer; only points it does not
-    reach (a longer, earlier span may) go through the range join.
+    Times are whole numbers, both ends count. A span stands for the aligned blocks it is made of, and of the spans of
+    a block only the one that wins is kept, so spans that lie in each other by the thousand leave one row a block. A
+    point asks the one block of each level that holds it: equality joins with at most one row, nothing left to compare.
+    Points without a time or a key, and points outside all spans, get nulls; repeated points stay as they are.
     """
-    cols = [*value, start]
-    listed = spans.select(*dict.fromkeys([*keys, start, end, *value, tie]))
-
-    def by_range(p: DataFrame) -> DataFrame:
-        wide = interval_join(p, listed, keys, at, start, end, width)
-        best = wide.groupBy(*points.columns).agg(F.max_by(F.struct(*cols), F.struct(start, tie)).alias("_m"))
-        return best.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
-
-    if not is_hot(points, keys, hot):
-        return by_range(points)
-    d = asof(points, spans, keys, at, start, [end, *value], tie, row, hot)
-    sure = F.col("match").isNull() | (F.col(f"match.{end}") >= F.col(at))
-    first = d.where(sure).select(*points.columns, *[F.col(f"match.{c}").alias(c) for c in cols])
-    return first.unionByName(by_range(d.where(~sure).select(*points.columns)))
+    cols = list(dict.fromkeys([*value, start]))
+    s = spans.where(F.col(end) >= F.col(start)).withColumn("_s", F.col(start).cast("bigint")).withColumn("_e", F.col(end).cast("bigint"))
+    longest = s.agg(F.max(F.col("_e") - F.col("_s") + 1)).first()[0] or 1
+    levels = int(longest).bit_length()
+    b = s.withColumn("_b", F.explode(aligned_blocks(F.col("_s"), F.col("_e"), levels)))
+    best = b.groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_b.level").alias("_r_level"), F.col("_b.block").alias("_r_block"))
+    best = best.agg(F.max_by(F.struct(*cols), F.struct("_s", tie)).alias("_m"), F.max(F.struct("_s", tie)).alias("_o"))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("bigint"), k).alias("block")) for k in range(levels)]))
+    p = points.withColumn("_b", asked)
+    cond = (F.col("_b.level") == F.col("_r_level")) & (F.col("_b.block") == F.col("_r_block"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_r_{k}"))
+    met = p.join(best, cond, "left").groupBy(*points.columns).agg(F.max_by("_m", "_o").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    met = met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("_n") / levels).cast("bigint"))))
+    return met.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
 def head_to_head(df: DataFrame, s: Sizes) -> DataFrame:

@@ -78,8 +78,7 @@ def range_join(t):
     points = t.read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         (F.max("l_partkey") % 500).alias("k"), F.max(day("l_shipdate")).alias("d")
     )
-    d = jn.covering_span(points, spans, ["k"], "d", "d0", "d1", ["o_orderkey", "age0"], "o_orderkey", 20,
-                         ["l_orderkey", "l_linenumber"], hot=t.hot_lines)
+    d = jn.covering_span(points, spans, ["k"], "d", "d0", "d1", ["o_orderkey", "age0"], "o_orderkey")
     return d.select("l_orderkey", "l_linenumber", F.col("o_orderkey").alias("span"), (F.col("age0") + F.col("d") - F.col("d0")).cast("bigint").alias("age"))
 
 
@@ -101,7 +100,7 @@ def event_hours(t):
        sql=RACES + """, e AS (SELECT event_id, epoch_us(ts) // 3600000000 AS h FROM events)
 SELECT e.event_id, arg_min(rt.round, race_h) FILTER (rt.round IS NOT NULL) AS round FROM e LEFT JOIN rt ON race_h - h BETWEEN 0 AND 96 GROUP BY 1""")
 def first_after(t):
-    d = jn.first_after(event_hours(t), race_times(t), "h", "race_h", "round", 96, ["event_id"], t.hot_events)
+    d = jn.first_after(event_hours(t), race_times(t), "h", "race_h", "round", 96, t.hot_events)
     return d.select("event_id", "round")
 
 
@@ -110,7 +109,7 @@ def first_after(t):
 j AS (SELECT e.event_id, rt.round, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(race_h - h), rt.round) AS k FROM e LEFT JOIN rt ON abs(race_h - h) <= 36)
 SELECT event_id, round FROM j WHERE k = 1""")
 def nearest(t):
-    d = jn.nearest(event_hours(t), race_times(t), "h", "race_h", "round", 36, ["event_id"], t.hot_events)
+    d = jn.nearest(event_hours(t), race_times(t), "h", "race_h", "round", 36, t.hot_events)
     return d.select("event_id", "round")
 
 
@@ -123,7 +122,7 @@ def as_of(t):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     right = t.quotes.select("ticker", us.alias("quote_us"), "event_id", "bid_millis", "last_millis")
     left = t.tickets.select("ticket_id", F.col("bettor").alias("ticker"), (us - 3_600_000_000).alias("a"))
-    d = jn.asof_backward(left, right, ["ticker"], "a", "quote_us", ["bid_millis", "last_millis"], "event_id", 345_600_000_000, ["ticket_id"], t.hot_events)
+    d = jn.asof_backward(left, right, ["ticker"], "a", "quote_us", ["bid_millis", "last_millis"], "event_id", 345_600_000_000, t.hot_events)
     return d.select("ticket_id", "quote_us", "bid_millis", "last_millis")
 
 

@@ -82,21 +82,71 @@ def test_classified_dnf_is_no_finisher(spark):
 def test_later_span_wins_and_longer_one_is_found(spark):
     spans = spark.createDataFrame([(1, 1, 1, 30), (2, 1, 5, 10), (3, 1, 8, 9)], "id bigint, k int, lo int, hi int")
     pts = spark.createDataFrame([(1, 1, 8), (2, 1, 10), (3, 1, 20), (4, 1, 31), (5, 1, 0), (6, 2, 5)], "row bigint, k int, at int")
-    for hot in (True, False):
-        d = jn.covering_span(pts, spans, ["k"], "at", "lo", "hi", ["id"], "id", 7, ["row"], hot)
-        assert {r["row"]: r["id"] for r in d.collect()} == {1: 3, 2: 2, 3: 1, 4: None, 5: None, 6: None}
+    d = jn.covering_span(pts, spans, ["k"], "at", "lo", "hi", ["id"], "id")
+    assert {r["row"]: r["id"] for r in d.collect()} == {1: 3, 2: 2, 3: 1, 4: None, 5: None, 6: None}
+    assert jn.covering_span(pts, spans.where("false"), ["k"], "at", "lo", "hi", ["id"], "id").where("id IS NULL").count() == 6
+
+
+def test_nested_spans_leave_one_row_a_block(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, 1, i, 4000 - i) for i in range(1500)]  # each lies in the one before
+    for i in range(1500, 1800):
+        lo = rnd.randrange(-500, 4500)
+        rows.append((i, rnd.choice([1, 2]), lo, lo + rnd.choice([-1, 0, 1, 7, 600])))
+    spans = spark.createDataFrame(rows, "id bigint, k int, lo int, hi int")
+    asked = [(i, rnd.choice([1, 1, 2, None]), rnd.choice([rnd.randrange(-600, 5000), None])) for i in range(400)] + [(9, 1, 5)] * 2
+    d = jn.covering_span(spark.createDataFrame(asked, "row bigint, k int, at int"), spans, ["k"], "at", "lo", "hi", ["id"], "id")
+    want = []
+    for row, k, at in asked:
+        fit = [(lo, i) for i, kk, lo, hi in rows if k == kk and at is not None and lo <= at <= hi]
+        want.append((row, max(fit)[1] if fit else -1))
+    assert sorted((r["row"], -1 if r["id"] is None else r["id"]) for r in d.collect()) == sorted(want)
+    blocks = spans.select(F.explode(jn.aligned_blocks(F.col("lo").cast("bigint"), F.col("hi").cast("bigint"), 13)).alias("b"), "id")
+    most = blocks.groupBy("id").count().agg(F.max("count")).first()[0]
+    assert most <= 24 and spans.where("hi >= lo").select("id").distinct().count() == blocks.select("id").distinct().count()
 
 
 @pytest.mark.parametrize("hot", [True, False])
 def test_as_of_directions(spark, hot):
     right = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (2, 5, 3)], "k int, t int, id bigint")
     left = spark.createDataFrame([(1, 1, 20), (2, 1, 9), (3, 1, 15), (4, 2, 100), (5, 3, 1)], "row bigint, k int, a int")
-    back = jn.asof(left, right, ["k"], "a", "t", ["id"], "id", ["row"], hot)
+    back = jn.asof(left, right, ["k"], "a", "t", ["id"], "id", hot)
     assert {r["row"]: r["match"] and r["match"]["id"] for r in back.collect()} == {1: 2, 2: None, 3: 1, 4: 3, 5: None}
-    ahead = jn.asof(left, right, ["k"], "a", "t", ["id"], "id", ["row"], hot, forward=True)
+    ahead = jn.asof(left, right, ["k"], "a", "t", ["id"], "id", hot, forward=True)
     assert {r["row"]: r["match"] and r["match"]["id"] for r in ahead.collect()} == {1: 2, 2: 1, 3: 2, 4: None, 5: None}
 
 
+@pytest.mark.parametrize("hot", [True, False])
+def test_neighbours_in_time_against_pairs(spark, hot):
+    import random
+
+    rnd = random.Random(7)
+    marks = [(rnd.choice([1, 1, 1, 2, None]), rnd.choice([*range(0, 300, 3), None]), i) for i in range(200)]
+    asks = [(i, rnd.choice([1, 1, 2, 3, None]), rnd.choice([*range(-20, 320), None])) for i in range(300)] + [(7, 1, 30)] * 3
+    right = spark.createDataFrame(marks, "k int, t int, id bigint").repartition(3)
+    left = spark.createDataFrame(asks, "row bigint, k int, a int").repartition(5)
+    both = [jn.asof(left, right, ["k"], "a", "t", ["id"], "id", hot, forward=x) for x in (False, True)]
+    got = [sorted((r["row"], r["match"]["id"] if r["match"] else -1) for r in d.collect()) for d in both]
+    want = [[], []]
+    for row, k, a in asks:
+        fit = [(t, i) for kk, t, i in marks if kk is not None and kk == k and t is not None and a is not None]
+        want[0].append((row, max([x for x in fit if x[0] <= a], default=(0, -1))[1] if fit else -1))
+        want[1].append((row, min([x for x in fit if x[0] >= a], default=(0, -1))[1] if fit else -1))
+    assert got == [sorted(w) for w in want]
+    near, first = [], []
+    for row, _, a in asks:
+        fit = [(t, i) for _, t, i in marks if t is not None and a is not None]
+        near.append((row, min([(abs(t - a), i) for t, i in fit if abs(t - a) <= 10], default=(0, -1))[1]))
+        first.append((row, min([(t, i) for t, i in fit if 0 <= t - a <= 10], default=(0, -1))[1]))
+    for f, rows in ((jn.nearest, near), (jn.first_after, first)):
+        out = f(left, right, "a", "t", "id", 10, hot)
+        assert out.columns == ["row", "k", "a", "id"]
+        assert sorted((r["row"], -1 if r["id"] is None else r["id"]) for r in out.collect()) == sorted(rows)
+        assert f(left, right.where("false"), "a", "t", "id", 10, hot).where("id IS NULL").count() == len(asks)
+
+
 @pytest.mark.parametrize("hot", [True, False])
 def test_traffic_against_pairs(spark, hot):
     import random
