@@ -16,6 +16,7 @@ from fieldorder.operators.grouping import (
     with_rank,
     with_totals,
 )
+from fieldorder.operators.medians import column_medians
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, hot: bool | None) -> DataFrame:
@@ -98,7 +99,8 @@ def session_gaps(df: DataFrame, s: Sizes) -> DataFrame:
 
 def fill_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Medians of all columns in one row (0 where a column is empty)."""
-    return df.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns])
+    found = column_medians(df, columns)
+    return df.sparkSession.createDataFrame([tuple(found[c] or 0.0 for c in columns)], ", ".join(f"`{c}` double" for c in columns))
 
 
 def with_fill(df: DataFrame, columns: Sequence[str], saved: DataFrame | None = None) -> DataFrame:
@@ -113,10 +115,9 @@ def with_fill(df: DataFrame, columns: Sequence[str], saved: DataFrame | None = N
 def attach_weather(df: DataFrame, weather: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """Left join on the contest; missing numbers get the median over rows, missing wet is 0."""
     d = df.join(weather, CONTEST, "left")
-    med = d.agg(*[F.median(c).alias(f"_m_{c}") for c in numeric])
-    d = d.crossJoin(F.broadcast(med))
-    d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in numeric})
-    return d.withColumn("is_wet", F.coalesce("is_wet", F.lit(0))).drop(*[f"_m_{c}" for c in numeric])
+    med = column_medians(d, numeric)
+    d = d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(med[c]).cast("double")) for c in numeric})
+    return d.withColumn("is_wet", F.coalesce("is_wet", F.lit(0)))
 
 
 def pivot(df: DataFrame, keys: Sequence[str], name: str, values: Sequence, aggs: Mapping[str, Column]) -> DataFrame:

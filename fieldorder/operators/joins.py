@@ -12,10 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldorder.operators.features import CONTEST, Sizes
-from fieldorder.operators.grouping import join_groups, with_nearby, with_prefix, with_rank, with_totals
+from fieldorder.operators.grouping import join_groups, with_index, with_nearby, with_prefix, with_rank, with_totals
 
 #: A lookup table is broadcast up to this many rows.
 LOOKUP_ROWS = 200_000
@@ -29,11 +28,14 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], defaults: dict
 
 
 def category_codes(df: DataFrame, seen: DataFrame, column: str, out: str) -> DataFrame:
-    """1..n in sorted order of the values seen; 0 for anything else."""
-    values = seen.select(column).where(F.col(column).isNotNull()).distinct()
-    w = Window.orderBy(column)  # one row per category
-    codes = values.withColumn(out, F.row_number().over(w))
-    return df.join(codes, column, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+    """1..n in sorted order of the values seen; 0 for anything else.
+
+    The dictionary is range-sorted once; a value's code is its place in its partition behind the counts of the
+    partitions before. It goes to every task only while it is counted small.
+    """
+    values = seen.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(0))
+    codes = with_index(values, ["_one"], [column], out, hot=True).drop("_one")
+    return lookup(df, codes, [column], {out: 0})
 
 
 def _sweep(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldorder.functions import fixed_values as fv
 from fieldorder.functions.scalars import is_dnf
+from fieldorder.operators.medians import column_medians
 
 CONTEST = ["year", "round"]
 
@@ -106,10 +107,8 @@ def backfill(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str
     d = d.withColumns(new) if new else d
     d = d.withColumns({c: F.col(c).cast("string").try_cast("double") for c in columns})
     fill = [c for c in columns if c not in fv.MISSING_ALLOWED]
-    med = d.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(f"_m_{c}") for c in fill])
-    d = d.crossJoin(F.broadcast(med))  # one row
-    d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in fill})
-    return d.drop(*[f"_m_{c}" for c in fill]), added
+    med = column_medians(d, fill)
+    return d.withColumns({c: F.coalesce(F.col(c), F.lit(med[c] or 0.0)) for c in fill}), added
 
 
 def relabel_dnf(df: DataFrame) -> DataFrame:
