@@ -12,10 +12,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldorder.operators.features import CONTEST, Sizes
 from fieldorder.operators.grouping import join_groups, with_index, with_nearby, with_prefix, with_rank, with_totals
 
+#: Rows that are held together as a list; larger groups go another way.
+CROWD = 64
+
 #: A lookup table is broadcast up to this many rows.
 LOOKUP_ROWS = 200_000
 
@@ -154,26 +158,54 @@ def covering_span(
 ) -> DataFrame:
     """The span of the same key that covers ``at``; of several the one that starts last, then the largest ``tie``.
 
-    Times are whole numbers, both ends count. A span stands for the aligned blocks it is made of, and of the spans of
-    a block only the one that wins is kept, so spans that lie in each other by the thousand leave one row a block. A
-    point asks the one block of each level that holds it: equality joins with at most one row, nothing left to compare.
+    Times are whole numbers, both ends count. Time is cut into pieces as long as the longest span, so a span touches
+    two at most. Where no piece is touched by more than CROWD spans of a key, they are one short list and a point
+    picks from the list of its piece. Otherwise (``_by_blocks``) a span stands for the aligned blocks it is made of.
     Points without a time or a key, and points outside all spans, get nulls; repeated points stay as they are.
     """
     cols = list(dict.fromkeys([*value, start]))
-    s = spans.where(F.col(end) >= F.col(start)).withColumn("_s", F.col(start).cast("bigint")).withColumn("_e", F.col(end).cast("bigint"))
+    s = spans.where(F.col(end) >= F.col(start)).select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"),
+        F.col(tie).alias("_tie"), F.struct(*cols).alias("_m"),
+    )
     longest = s.agg(F.max(F.col("_e") - F.col("_s") + 1)).first()[0] or 1
     levels = int(longest).bit_length()
+    piece = lambda c: F.shiftright(c, levels)
+    names = [f"_r_{k}" for k in keys]
+    s = s.withColumn("_r_piece", F.explode(F.array_distinct(F.array(piece(F.col("_s")), piece(F.col("_e"))))))
+    most = s.groupBy(*names, "_r_piece").count().agg(F.max("count")).first()[0] or 0
+    if most > CROWD:
+        return _by_blocks(points, s.drop("_r_piece").distinct(), keys, at, levels, cols)
+    lists = s.groupBy(*names, "_r_piece").agg(F.collect_list(F.struct("_s", "_tie", "_e", "_m")).alias("_l"))
+    time = F.col(at).cast("bigint")
+    cond = piece(time) == F.col("_r_piece")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_r_{k}"))
+    fit = F.filter("_l", lambda x: (x["_s"] <= time) & (x["_e"] >= time))
+    d = points.join(lists, cond, "left").withColumn("_w", F.array_max(fit))
+    return d.select(*points.columns, *[F.col(f"_w._m.{c}").alias(c) for c in cols])
+
+
+def _by_blocks(points: DataFrame, s: DataFrame, keys: Sequence[str], at: str, levels: int, cols: Sequence[str]) -> DataFrame:
+    """Of the spans of a block only the one that wins is kept, so spans that lie in each other by the thousand leave one
+    row a block. A point asks the one block of each level that holds it: equality joins with one row at most, and
+    nothing left to compare."""
+    names = [f"_r_{k}" for k in keys]
     b = s.withColumn("_b", F.explode(aligned_blocks(F.col("_s"), F.col("_e"), levels)))
-    best = b.groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_b.level").alias("_r_level"), F.col("_b.block").alias("_r_block"))
-    best = best.agg(F.max_by(F.struct(*cols), F.struct("_s", tie)).alias("_m"), F.max(F.struct("_s", tie)).alias("_o"))
-    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("bigint"), k).alias("block")) for k in range(levels)]))
-    p = points.withColumn("_b", asked)
+    best = b.groupBy(*names, F.col("_b.level").alias("_r_level"), F.col("_b.block").alias("_r_block"))
+    best = best.agg(F.max(F.struct("_s", "_tie", "_m")).alias("_w"))
+    asked = points.select(*keys, F.col(at).cast("bigint").alias("_t")).where("_t IS NOT NULL").distinct()
+    levels_of = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("_t", k).alias("block")) for k in range(levels)])
+    asked = asked.withColumn("_b", F.explode(levels_of))
     cond = (F.col("_b.level") == F.col("_r_level")) & (F.col("_b.block") == F.col("_r_block"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
-    met = p.join(best, cond, "left").groupBy(*points.columns).agg(F.max_by("_m", "_o").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    met = met.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), (F.col("_n") / levels).cast("bigint"))))
-    return met.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
+    met = asked.join(best, cond).groupBy(*[F.col(k).alias(f"_a_{k}") for k in keys], "_t").agg(F.max("_w").alias("_w"))
+    cond = F.col(at).cast("bigint") == F.col("_t")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_a_{k}"))
+    d = points.join(met, cond, "left")
+    return d.select(*points.columns, *[F.col(f"_w._m.{c}").alias(c) for c in cols])
 
 
 def head_to_head(df: DataFrame, s: Sizes) -> DataFrame:
@@ -188,39 +220,70 @@ def traffic(
 ) -> DataFrame:
     """stronger_behind_n and weaker_ahead_n: rivals within ``slots`` grid places and beyond a margin.
 
-    Each row asks each of the neighbouring slots how many of its rows rate above (below) a bound.
-    Questions and rows of a slot share one ordered running count, so a crowded slot is a sort,
-    not a product.
+    The ratings of a slot are one short list, and the lists of the next (last) few slots one row beside it, so a row
+    meets its neighbourhood in one join and counts there. Slots with more than CROWD rows are left out of that and
+    answered by ordered running counts (``_crowded``): a crowded slot is a sort, not a product.
     """
     d = df.withColumn("_e", rating.cast("double"))
     base = d.where(F.col("grid_position").isNotNull() & F.col("_e").isNotNull())
-    rows = base.select(*CONTEST, F.col("grid_position").alias("_slot"), F.col("_e").alias("_at"),
-                       F.lit(1).alias("_is"), F.lit(0).alias("_ask"), F.lit(None).cast("bigint").alias("_who"))
-    steps = F.explode(F.array(*[F.lit(k) for k in range(-slots, slots + 1) if k]))
-    ask = base.select(*CONTEST, "grid_position", "_e", F.col(who).alias("_who"), steps.alias("_k"))
+    rows = base.select(*CONTEST, F.col(who).alias("_who"), F.col("grid_position").cast("long").alias("_slot"), "_e")
+    sizes = rows.groupBy(*CONTEST, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    crowd = sizes.where(F.col("_n") > CROWD).select(*CONTEST, "_slot")
+    any_crowd = not crowd.isEmpty()
+    calm = rows.join(crowd, [*CONTEST, "_slot"], "left_anti") if any_crowd else rows
+    lists = calm.groupBy(*CONTEST, "_slot").agg(F.collect_list("_e").alias("_l"))  # at most CROWD numbers
+    here = rows.select(*CONTEST, "_slot").distinct() if any_crowd else lists.select(*CONTEST, "_slot")
+    if s.contest:  # a contest may have too many slots for one task: every slot sends its list to its neighbours
+        steps = F.explode(F.array(*[F.lit(k) for k in range(-slots, slots + 1) if k])).alias("_k")
+        sent = lists.select(*CONTEST, "_slot", "_l", steps)
+        sent = sent.groupBy(*CONTEST, (F.col("_slot") + F.col("_k")).alias("_slot")).agg(
+            F.flatten(F.collect_list(F.when(F.col("_k") < 0, F.col("_l")))).alias("_behind"),
+            F.flatten(F.collect_list(F.when(F.col("_k") > 0, F.col("_l")))).alias("_ahead"),
+        )
+        near = here.join(sent, [*CONTEST, "_slot"])
+    else:
+        both = lists if not any_crowd else here.join(lists, [*CONTEST, "_slot"], "left")
+        w = Window.partitionBy(*CONTEST).orderBy("_slot")
+        near = both.select(
+            *CONTEST, "_slot", F.flatten(F.collect_list("_l").over(w.rangeBetween(1, slots))).alias("_behind"),
+            F.flatten(F.collect_list("_l").over(w.rangeBetween(-slots, -1))).alias("_ahead"),
+        )
+    count = lambda c, f: F.size(F.filter(F.coalesce(F.col(c), F.array().cast("array<double>")), f)).cast("long")
+    counts = rows.join(near, [*CONTEST, "_slot"], "left").select(
+        *CONTEST, "_who", count("_behind", lambda x: x > F.col("_e") + margin).alias("_sb"),
+        count("_ahead", lambda x: x < F.col("_e") - margin).alias("_wa"),
+    )
+    if any_crowd:
+        counts = counts.unionByName(_crowded(rows, crowd, s, slots, margin))
+        counts = counts.groupBy(*CONTEST, "_who").agg(F.sum("_sb").alias("_sb"), F.sum("_wa").alias("_wa"))
+    d = join_groups(d.drop("_e"), counts.withColumnRenamed("_who", who), [*CONTEST, who])
+    named = {"stronger_behind_n": "_sb", "weaker_ahead_n": "_wa"}
+    return d.withColumns({n: F.coalesce(c, F.lit(0).cast("long")) for n, c in named.items()}).drop(*named.values())
+
+
+def _crowded(rows: DataFrame, crowd: DataFrame, s: Sizes, slots: int, margin: float) -> DataFrame:
+    """What rows within reach of a crowded slot count there (_who, _sb, _wa).
+
+    Questions and rows of a slot share one ordered running count.
+    """
+    held = rows.join(crowd, [*CONTEST, "_slot"], "left_semi").select(
+        *CONTEST, "_slot", F.col("_e").alias("_at"), F.lit(1).alias("_is"), F.lit(0).alias("_ask"), F.lit(None).cast(dict(rows.dtypes)["_who"]).alias("_who")
+    )
+    steps = F.explode(F.array(*[F.lit(k) for k in range(-slots, slots + 1) if k])).alias("_k")
     bound = F.when(F.col("_k") > 0, F.col("_e") + margin).otherwise(F.col("_e") - margin)
     # behind: rows with rating > bound, so rows at the bound sort before the question (2);
-    # ahead: rows with rating < bound, so the question (0) sorts before rows at the bound (1)
-    ask = ask.select(*CONTEST, (F.col("grid_position") + F.col("_k")).alias("_slot"), bound.alias("_at"),
-                     F.lit(0).alias("_is"), F.when(F.col("_k") > 0, 2).otherwise(-2).alias("_ask"), "_who")
-    u = rows.unionByName(ask)
+    # ahead: rows with rating < bound, so the question (-2) sorts before rows at the bound (0)
+    ask = rows.select(*CONTEST, "_who", "_e", "_slot", steps).select(
+        *CONTEST, (F.col("_slot") + F.col("_k")).alias("_slot"), bound.alias("_at"), F.lit(0).alias("_is"),
+        F.when(F.col("_k") > 0, 2).otherwise(-2).alias("_ask"), "_who",
+    ).join(crowd, [*CONTEST, "_slot"], "left_semi")
     keys = [*CONTEST, "_slot"]
-    turn = F.when(F.col("_ask") == 2, 2).when(F.col("_ask") == -2, 0).otherwise(1)
-    u = with_prefix(u.withColumn("_turn", turn), keys, ["_at", "_turn", "_who"], {"_low": F.col("_is")}, s.contest)
+    u = with_prefix(held.unionByName(ask), keys, ["_at", "_ask", "_who"], {"_low": F.col("_is")}, s.contest)
     u = with_totals(u, keys, {"_all": F.sum("_is")}, s.contest)
     low = F.coalesce(F.col("_low"), F.lit(0))
-    counts = (
-        u.where(F.col("_ask") != 0)
-        .groupBy(*CONTEST, F.col("_who").alias(who))
-        .agg(
-            F.sum(F.when(F.col("_ask") == 2, F.col("_all") - low).otherwise(0)).alias("stronger_behind_n"),
-            F.sum(F.when(F.col("_ask") == -2, low).otherwise(0)).alias("weaker_ahead_n"),
-        )
-    )
-    d = join_groups(d.drop("_e"), counts, [*CONTEST, who])
-    zero = F.lit(0)
-    return d.withColumn("stronger_behind_n", F.coalesce("stronger_behind_n", zero)).withColumn(
-        "weaker_ahead_n", F.coalesce("weaker_ahead_n", zero)
+    return u.where(F.col("_ask") != 0).groupBy(*CONTEST, "_who").agg(
+        F.sum(F.when(F.col("_ask") == 2, F.col("_all") - low).otherwise(0)).alias("_sb"),
+        F.sum(F.when(F.col("_ask") == -2, low).otherwise(0)).alias("_wa"),
     )
 
 

@@ -79,7 +79,9 @@ def test_classified_dnf_is_no_finisher(spark):
     assert [r["finish_position"] for r in df.where(ft.classified()).collect()] == [1]
 
 
-def test_later_span_wins_and_longer_one_is_found(spark):
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_later_span_wins_and_longer_one_is_found(spark, crowd, monkeypatch):
+    monkeypatch.setattr(jn, "CROWD", crowd)
     spans = spark.createDataFrame([(1, 1, 1, 30), (2, 1, 5, 10), (3, 1, 8, 9)], "id bigint, k int, lo int, hi int")
     pts = spark.createDataFrame([(1, 1, 8), (2, 1, 10), (3, 1, 20), (4, 1, 31), (5, 1, 0), (6, 2, 5)], "row bigint, k int, at int")
     d = jn.covering_span(pts, spans, ["k"], "at", "lo", "hi", ["id"], "id")
@@ -87,7 +89,9 @@ def test_later_span_wins_and_longer_one_is_found(spark):
     assert jn.covering_span(pts, spans.where("false"), ["k"], "at", "lo", "hi", ["id"], "id").where("id IS NULL").count() == 6
 
 
-def test_nested_spans_leave_one_row_a_block(spark):
+@pytest.mark.parametrize("crowd", [64, 10_000])
+def test_nested_spans_leave_one_row_a_block(spark, crowd, monkeypatch):
+    monkeypatch.setattr(jn, "CROWD", crowd)
     import random
 
     rnd = random.Random(2)
@@ -148,11 +152,13 @@ def test_neighbours_in_time_against_pairs(spark, hot):
 
 
 @pytest.mark.parametrize("hot", [True, False])
-def test_traffic_against_pairs(spark, hot):
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_traffic_against_pairs(spark, hot, crowd, monkeypatch):
+    monkeypatch.setattr(jn, "CROWD", crowd)
     import random
 
     rnd = random.Random(4)
-    rows = [(2000, 1, i, rnd.choice([*range(1, 12), 12, 12, 12]), float(rnd.randrange(1400, 1600, 5))) for i in range(40)]
+    rows = [(2000, 1, i, rnd.choice([*range(1, 12), 12, 12, 12, 19]), float(rnd.randrange(1400, 1600, 5))) for i in range(40)]
     df = spark.createDataFrame(rows, "year int, round int, entrant bigint, grid_position int, e double")
     s = ft.Sizes(contest=hot, history=False)
     got = {r["entrant"]: (r["stronger_behind_n"], r["weaker_ahead_n"]) for r in jn.traffic(df, F.col("e"), "entrant", s).collect()}
