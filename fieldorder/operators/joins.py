@@ -220,16 +220,24 @@ def traffic(
 ) -> DataFrame:
     """stronger_behind_n and weaker_ahead_n: rivals within ``slots`` grid places and beyond a margin.
 
-    The ratings of a slot are one short list, and the lists of the next (last) few slots one row beside it, so a row
-    meets its neighbourhood in one join and counts there. Slots with more than CROWD rows are left out of that and
-    answered by ordered running counts (``_crowded``): a crowded slot is a sort, not a product.
+    A row holds the ratings of the next and the last few slots as short lists and counts in them. Where a contest may
+    be too large for one task, slots send their lists to their neighbours instead. Slots with more than CROWD rows are
+    in no list and answered by ordered running counts (``_crowded``): a crowded slot is a sort, not a product.
     """
     d = df.withColumn("_e", rating.cast("double"))
-    base = d.where(F.col("grid_position").isNotNull() & F.col("_e").isNotNull())
-    rows = base.select(*CONTEST, F.col(who).alias("_who"), F.col("grid_position").cast("long").alias("_slot"), "_e")
-    sizes = rows.groupBy(*CONTEST, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    slot = F.col("grid_position").cast("long")
+    known = slot.isNotNull() & F.col("_e").isNotNull()
+    sizes = df.where(slot.isNotNull()).groupBy(*CONTEST, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
     crowd = sizes.where(F.col("_n") > CROWD).select(*CONTEST, "_slot")
     any_crowd = not crowd.isEmpty()
+    higher, lower = (lambda x: x > F.col("_e") + margin), (lambda x: x < F.col("_e") - margin)
+    if not s.contest and not any_crowd:
+        w = Window.partitionBy(*CONTEST).orderBy(slot)
+        e = F.collect_list(F.when(known, F.col("_e")))
+        d = d.withColumn("_b", e.over(w.rangeBetween(1, slots))).withColumn("_a", e.over(w.rangeBetween(-slots, -1)))
+        counted = lambda c, f: F.when(known, F.size(F.filter(c, f)).cast("long")).otherwise(F.lit(0).cast("long"))
+        return d.withColumn("stronger_behind_n", counted("_b", higher)).withColumn("weaker_ahead_n", counted("_a", lower)).drop("_e", "_a", "_b")
+    rows = d.where(known).select(*CONTEST, F.col(who).alias("_who"), slot.alias("_slot"), "_e")
     calm = rows.join(crowd, [*CONTEST, "_slot"], "left_anti") if any_crowd else rows
     lists = calm.groupBy(*CONTEST, "_slot").agg(F.collect_list("_e").alias("_l"))  # at most CROWD numbers
     here = rows.select(*CONTEST, "_slot").distinct() if any_crowd else lists.select(*CONTEST, "_slot")
@@ -250,8 +258,7 @@ def traffic(
         )
     count = lambda c, f: F.size(F.filter(F.coalesce(F.col(c), F.array().cast("array<double>")), f)).cast("long")
     counts = rows.join(near, [*CONTEST, "_slot"], "left").select(
-        *CONTEST, "_who", count("_behind", lambda x: x > F.col("_e") + margin).alias("_sb"),
-        count("_ahead", lambda x: x < F.col("_e") - margin).alias("_wa"),
+        *CONTEST, "_who", count("_behind", higher).alias("_sb"), count("_ahead", lower).alias("_wa"),
     )
     if any_crowd:
         counts = counts.unionByName(_crowded(rows, crowd, s, slots, margin))
