@@ -18,7 +18,7 @@ import tempfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,16 +39,22 @@ def is_hot(df: DataFrame, keys: Sequence[str], hot: bool | None) -> bool:
     return largest_group(df, keys) > GROUP_ROW_LIMIT if hot is None else hot
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the reliable checkpoint folder of the session."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's reliable checkpoint folder; a local session without one gets its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the reliable checkpoint folder of the session."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -296,3 +296,35 @@ def field_size(t):
 def last_segment(t):
     known = F.when(F.col("lap_ms").isNotNull(), F.col("lap_number"))
     return t.laps.groupBy("round", "entrant").agg(F.max_by("lap_ms", known).alias("last_ms"))
+
+
+def _scratch(t, name):
+    """A folder of the session's own in the shared one, deleted when the application ends."""
+    import uuid
+
+    from fieldorder.operators.grouping import checkpoint_folder
+
+    path = f"{checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    where = t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(t.spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+@query("A02_whole_write", "results",
+       sql="SELECT year, round, entrant, CASE WHEN entrant % 2 = 0 THEN points * 2 ELSE points END AS points, dnf FROM results")
+def whole_write(t):
+    """Written, then replaced by a table made from itself, then read."""
+    path = _scratch(t, "results")
+    mg.swap_table(t.results.select(*KEY, "points", "dnf"), path)
+    stored = t.spark.read.parquet(path)
+    mg.swap_table(stored.withColumn("points", F.when(F.col("entrant") % 2 == 0, F.col("points") * 2).otherwise(F.col("points"))), path)
+    return t.spark.read.parquet(path)
+
+
+@query("A05_append_once", "quotes", sql="SELECT event_id, ts, ticker, market, bid_millis, ask_millis, last_millis, CAST(event_id % 3 AS INT) AS batch FROM quotes")
+def append_once(t):
+    """Snapshots appended in three batches, one of them delivered twice."""
+    path = _scratch(t, "snapshots")
+    for batch in (0, 1, 1, 2):
+        mg.append_once(t.quotes.where(F.col("event_id") % 3 == batch), path, batch)
+    return t.spark.read.parquet(path)

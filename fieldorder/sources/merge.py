@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,48 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     w.parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """Whole-table write that never shows half a table: the new files are staged and renamed into place.
+
+    ``df`` may read the table it replaces. A job that fails leaves the stored table as it was.
+    """
+    spark = df.sparkSession
+    staged, old = (f"{path}.{x}-{uuid.uuid4().hex}" for x in ("staged", "old"))
+    df.write.parquet(staged)
+    (new, fs), (there, _), (aside, _) = (_folder(spark, p) for p in (staged, path, old))
+    if fs.exists(there) and not fs.rename(there, aside):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(new, there):
+        raise OSError(f"{staged} could not be renamed to {path}")
+    fs.delete(aside, True)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_once(df: DataFrame, path: str, batch: int) -> bool:
+    """Append a batch exactly once: its files are staged and renamed to ``batch=<id>``; False if it is there already.
+
+    A batch that is delivered again, or whose first writer died before the rename, leaves no double rows. Readers see
+    whole batches only, with the id as column ``batch``.
+    """
+    spark = df.sparkSession
+    target, fs = _folder(spark, f"{path}/batch={batch}")
+    if fs.exists(target):
+        return False
+    staged, _ = _folder(spark, f"{path}/_staged-{uuid.uuid4().hex}/batch={batch}")
+    df.write.parquet(staged.toString())
+    done = not fs.exists(target) and fs.rename(staged, target)
+    fs.delete(staged.getParent(), True)
+    return bool(done)
+
+
 def replace_contests(stored: DataFrame, new: DataFrame, keys: Sequence[str] = tuple(CONTEST)) -> DataFrame:
     """Every contest in ``new`` replaces the stored one as a whole; others stay."""
     fresh = new.select(*keys).distinct()

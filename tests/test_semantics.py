@@ -256,3 +256,25 @@ def test_ewm_of_a_long_history_for_any_span(spark):
         for hot in (False, True):
             got = with_ewm(d, ["k"], ["i"], d["v"], span, "m", hot=hot).orderBy("i").toPandas()["m"]
             assert np.allclose(got[1:], want[1:], rtol=1e-9, atol=0)
+
+
+def test_appended_batches_come_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    d = spark.range(10).repartition(3)
+    assert mg.append_once(d, path, 4) and not mg.append_once(d, path, 4) and mg.append_once(d.where("id < 2"), path, 5)
+    broken = d.select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        mg.append_once(broken, path, 6)
+    assert mg.append_once(d.where("id = 9"), path, 6)
+    got = spark.read.parquet(path)
+    assert sorted(map(tuple, got.collect())) == sorted([(i, 4) for i in range(10)] + [(0, 5), (1, 5), (9, 6)])
+
+
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    mg.swap_table(spark.range(5), path)
+    with pytest.raises(Exception):
+        mg.swap_table(spark.range(5).select(F.raise_error(F.lit("lost")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+    mg.swap_table(spark.read.parquet(path).where("id > 2"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4]
