@@ -47,12 +47,38 @@ def elo_step(t):
     return rounded(rt.elo_step(d, "rating", 32.0, RACE, t.hot_contest), KEY, "change")
 
 
-@query("G03_strength")
+def strength_sql(points):
+    """Every contest's strengths before it, for each point (point, ld, lt, dc, tc, rk): a recursion over the time steps."""
+    return f"""y AS (SELECT year, round, row_number() OVER (ORDER BY year, round) AS t, year > lag(year) OVER (ORDER BY year, round) AS fresh FROM (SELECT DISTINCT year, round FROM results)),
+pt AS ({points}), rs AS (SELECT t, league, entrant, finish_position AS p, dnf FROM results JOIN y USING (year, round)),
+st AS (WITH RECURSIVE f AS (
+  SELECT CAST(0 AS BIGINT) AS t, point, league, entrant, team, NULL::DOUBLE AS dr, 0.0::DOUBLE AS tr, NULL::DOUBLE AS dn, 0.0::DOUBLE AS tn, false AS here, NULL::DOUBLE AS ll, CAST(0 AS BIGINT) AS m
+  FROM (SELECT DISTINCT league, entrant, team FROM results), pt
+  UNION ALL (WITH a AS (SELECT y.t, f.point, ld, lt, rk, f.league, f.entrant, f.team, CASE WHEN y.fresh THEN f.dn * dc ELSE f.dn END AS d0, CASE WHEN y.fresh THEN f.tn * tc ELSE f.tn END AS tr
+      FROM f JOIN y ON y.t = f.t + 1 JOIN pt USING (point)),
+    b AS (SELECT a.*, rs.entrant IS NOT NULL AS here, CASE WHEN rs.dnf = 0 THEN rs.p END AS place, CASE WHEN rs.entrant IS NOT NULL THEN coalesce(d0, rk) ELSE d0 END AS dr
+      FROM a LEFT JOIN rs ON rs.t = a.t AND rs.league = a.league AND rs.entrant = a.entrant),
+    c AS (SELECT *, dr + tr AS s, count(place) OVER (PARTITION BY point, league) AS m, row_number() OVER (PARTITION BY point, league ORDER BY place NULLS LAST) AS k,
+      sum(CASE WHEN place IS NOT NULL THEN exp(dr + tr) END) OVER (PARTITION BY point, league ORDER BY place DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS behind FROM b),
+    g AS (SELECT *, CASE WHEN k < m THEN s - ln(behind) END AS l, CASE WHEN place IS NOT NULL AND m >= 2 THEN CASE WHEN k < m THEN 1 ELSE 0 END
+      - exp(s) * sum(CASE WHEN k < m THEN 1 / behind END) OVER (PARTITION BY point, league ORDER BY place NULLS LAST ROWS UNBOUNDED PRECEDING) ELSE 0 END AS g FROM c)
+    SELECT t, point, league, entrant, team, dr, tr, dr + ld * g, tr + lt * sum(g) OVER (PARTITION BY point, league, team), here, sum(l) OVER (PARTITION BY point, league), m FROM g)) SELECT * FROM f)"""
+
+
+ONE = " , ".join(f"{fv.STRENGTH[k]}::DOUBLE AS {n}" for k, n in (("lr_driver", "ld"), ("lr_team", "lt"), ("driver_carry", "dc"), ("team_carry", "tc"), ("rookie", "rk")))
+EVERY = "SELECT CAST(row_number() OVER () - 1 AS INT) AS point, * EXCLUDE (x) FROM (SELECT * FROM (SELECT unnest({lr_driver}::DOUBLE[]) AS ld), (SELECT unnest({lr_team}::DOUBLE[]) AS lt), (SELECT unnest({driver_carry}::DOUBLE[]) AS dc), (SELECT unnest({team_carry}::DOUBLE[]) AS tc), (SELECT unnest({reset_carry}::DOUBLE[]) AS x), (SELECT unnest({rookie}::DOUBLE[]) AS rk) ORDER BY ld, lt, dc, tc, x, rk)".format(**fv.STRENGTH_GRID)
+
+
+@query("G03_strength", "results",
+       sql=strength_sql(f"SELECT 0 AS point, {ONE}") + """ SELECT league, year, round, entrant, round(dr, 6) AS driver_rating, round(tr, 6) AS team_rating, round(dr + tr, 6) AS car_rating
+FROM st JOIN y USING (t) WHERE here""")
 def strength(t):
     return rounded(rt.strength_ratings(t.results, hot=t.hot_league), [*LEAGUE, "entrant"], "driver_rating", "team_rating", "car_rating")
 
 
-@query("G05_rating_grid")
+@query("G05_rating_grid", "results",
+       sql=strength_sql(EVERY) + """, c AS (SELECT DISTINCT point, league, t, ll, m FROM st WHERE m >= 2)
+SELECT point, round(sum(ll) / sum(m), 6) AS score FROM c JOIN y USING (t) WHERE year > (SELECT min(year) FROM y) GROUP BY point""")
 def rating_grid(t):
     return rounded(rt.score_parameters(t.results, None, t.hot_league), ["point"], "score")
 
