@@ -10,9 +10,11 @@ from fieldorder.operators import probability as pr
 from fieldorder.operators import resample as rs
 from fieldorder.operators import scoring as sc
 from fieldorder.operators.grouping import with_index
+from fieldorder.plans.models import target_position
 from fieldorder.plans.queries.history import KEY, rounded, sizes
 from fieldorder.plans.queries.probability import GRID, MODEL, T_LIST, TGRID, contexts, nll_sql, nll_table, scored
 from fieldorder.plans.registry import query
+from fieldorder.plans.walk_forward import LeastSquares
 
 RACE = ["year", "round"]
 
@@ -324,6 +326,35 @@ def walk_forward_previous(t):
     return rounded(sc.walk_forward(nll_table(t, extra=(1.0,)), previous_only=True), [*RACE, "temperature"], "ll_winner", "ll_top3")
 
 
+FITTED = """tp AS (SELECT *, CAST(coalesce(finish_position, count(*) OVER (PARTITION BY year, round) + 1) AS DOUBLE) AS y, CAST(pred AS DOUBLE) AS a, CAST(entrant % 11 AS DOUBLE) AS b FROM gs),
+fs AS (SELECT s.year, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby
+  FROM (SELECT DISTINCT year FROM results) s JOIN tp ON tp.year < s.year GROUP BY 1),
+co AS (SELECT *, (cay * vb - cby * cab) / (va * vb - cab * cab) AS ka, (cby * va - cay * cab) / (va * vb - cab * cab) AS kb FROM fs),
+md AS (SELECT tp.*, my + ka * (a - ma) + kb * (b - mb) AS mpred FROM tp JOIN co USING (year))"""
+
+
+def fitted(t):
+    """Expected finishes of all seasons but the first, by least squares on the grid and a column of the entrant."""
+    d = sc.grid_score(t.results, "grid_position", "pred", t.hot_contest).withColumn("b", F.col("entrant") % 11)
+    return LeastSquares(["pred", "b"], "target_position").walk(target_position(d, t.hot_contest), "mpred")
+
+
+@query("H30_fitted_predictions", "results", sql=f"{GRID}, {FITTED} SELECT year, round, entrant, round(mpred, 6) AS predicted FROM md")
+def fitted_predictions(t):
+    return fitted(t).select(*KEY, F.round("mpred", 6).alias("predicted"))
+
+
+@query("H30_walk_forward_fitted", "results",
+       sql=TGRID.replace(MODEL, FITTED) + """, y AS (SELECT year, temperature, sum(ll_top3) AS s, count(*) AS c FROM nt GROUP BY 1, 2),
+p AS (SELECT year, temperature, sum(s) OVER w / sum(c) OVER w AS loss FROM y WINDOW w AS (PARTITION BY temperature ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT year, temperature FROM p WHERE loss IS NOT NULL QUALIFY row_number() OVER (PARTITION BY year ORDER BY loss, temperature) = 1)
+SELECT year, round, temperature, round(ll_winner, 6) AS ll_winner, round(ll_top3, 6) AS ll_top3 FROM nt JOIN z USING (year, temperature)""")
+def walk_forward_fitted(t):
+    """Model and temperature both from earlier seasons: predictions of a season never seen by its fit."""
+    nll = pr.nll_by_temperature(fitted(t), RACE, F.col("mpred"), F.col("finish_position"), fv.TEMPERATURES, t.hot_contest)
+    return rounded(sc.walk_forward(nll), [*RACE, "temperature"], "ll_winner", "ll_top3")
+
+
 @query("H31_rolling_temperature", "results",
        sql=TGRID.replace(T_LIST, T_LIST[:-1] + ", 1.0::DOUBLE]") + """, a AS (SELECT *, avg(ll_top3) OVER (PARTITION BY temperature ORDER BY year, round ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING) AS loss FROM nt)
 SELECT year, round, temperature, round(ll_winner, 6) AS ll_winner, round(ll_top3, 6) AS ll_top3 FROM a WHERE loss IS NOT NULL OR temperature = 1.0
