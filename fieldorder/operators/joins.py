@@ -320,13 +320,14 @@ def aligned_differences(a: DataFrame, b: DataFrame, keys: Sequence[str], columns
 def future_rows(df: DataFrame, remaining: DataFrame, null_columns: Sequence[str]) -> DataFrame:
     """The lineup of the last contest repeated for every remaining contest, outcomes empty.
 
-    remaining: year, round, venue. Both sides are small by nature: one field, one calendar.
+    remaining: year, round, venue; it goes to every task only while it is counted small.
     """
+    small = remaining.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
     last = df.agg(F.max(F.struct("year", "round")).alias("m")).select("m.year", "m.round")
     lineup = df.join(F.broadcast(last), ["year", "round"], "left_semi").select("entrant", "team")
     types = dict(df.dtypes)
     empty = [F.lit(None).cast(types[c]).alias(c) for c in null_columns]
-    return lineup.crossJoin(F.broadcast(remaining)).select("year", "round", "venue", "entrant", "team", *empty)
+    return lineup.crossJoin(F.broadcast(remaining) if small else remaining).select("year", "round", "venue", "entrant", "team", *empty)
 
 
 def fuzzy_name(key: Column, names: Sequence[str], least: float = 0.72) -> Column:

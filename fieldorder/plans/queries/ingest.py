@@ -194,17 +194,22 @@ def flatten_sprint(t):
 
 
 @query("A20_day_weather",
-       sql="""h AS (SELECT CAST(day(ts) AS INT) AS round, ts, value / 4 AS temperature, CASE WHEN event_type = 'error' THEN value / 400 ELSE 0 END AS precipitation FROM events)
-SELECT round, round(avg(temperature), 6) AS temp_c_mean, round(max(temperature), 6) AS temp_c_max, round(sum(precipitation), 6) AS precip_mm_total,
-  round(max(precipitation), 6) AS precip_mm_max_hourly, CASE WHEN sum(precipitation) >= 2 THEN 1 ELSE 0 END AS is_wet_race FROM h WHERE ts::DATE = make_date(2024, 1, round) GROUP BY 1""")
+       sql="""h AS (SELECT CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS round, value / 4 AS temperature, CASE WHEN event_type = 'error' THEN value / 400 ELSE 0 END AS precipitation FROM events)
+SELECT year, month, round, round(avg(temperature), 6) AS temp_c_mean, round(max(temperature), 6) AS temp_c_max, round(sum(precipitation), 6) AS precip_mm_total,
+  round(max(precipitation), 6) AS precip_mm_max_hourly, CASE WHEN sum(precipitation) >= 2 THEN 1 ELSE 0 END AS is_wet_race FROM h GROUP BY ALL""")
 def day_weather(t):
-    h = t.read("events").select(
-        F.dayofmonth("ts").alias("round"), "ts", (F.col("value") / 4).alias("temperature"),
-        F.when(F.col("event_type") == "error", F.col("value") / 400).otherwise(0.0).alias("precipitation"),
-    )
-    d = fl.day_weather(h, ["round"], "ts", F.make_date(F.lit(2024), F.lit(1), F.col("round")))
+    """Every day of the table is a contest's day; a collector fetches its hours and those of the next day."""
+    e = t.read("events")
+    hours = e.select("ts", F.explode(F.array(F.to_date("ts"), F.date_add(F.to_date("ts"), -1))).alias("day"), "value", "event_type")
+    days = e.select(F.to_date("ts").alias("day")).distinct()
+    h = hours.join(days, "day", "left_semi").select(
+        F.year("day").alias("year"), F.month("day").alias("month"), F.dayofmonth("day").alias("round"), "ts", "day",
+        (F.col("value") / 4).alias("temperature"), F.when(F.col("event_type") == "error", F.col("value") / 400).otherwise(0.0).alias("precipitation"),
+    )
+    keys = ["year", "month", "round"]
+    d = fl.day_weather(h, keys, "ts", F.col("day"))
     nums = ["temp_c_mean", "temp_c_max", "precip_mm_total", "precip_mm_max_hourly"]
-    return d.select("round", *[F.round(c, 6).alias(c) for c in nums], "is_wet_race")
+    return d.select(*keys, *[F.round(c, 6).alias(c) for c in nums], "is_wet_race")
 
 
 @query("A21_parallel_arrays",

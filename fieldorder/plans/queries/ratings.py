@@ -221,14 +221,34 @@ def future_state(t):
     return d.select(*KEY, "best", "starts")
 
 
+SHARES = [k / 20 for k in range(9)]
+SHARE_LIST = "[" + ", ".join(f"{v}::DOUBLE" for v in SHARES) + "]"
+
+
 @query("I06_component_weights", "results",
-       sql=f"""{GRID}, {MODEL}, ww AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS value), sx AS (SELECT value, year, round, finish_position, -(value * pred + (1 - value) * mpred) / 4.0 AS s FROM md, ww),
-{nll_sql('sx', 's', extra='value')}, av AS (SELECT value, avg(ll_top3) AS loss FROM nl GROUP BY 1) SELECT value AS weight, round(loss, 6) AS loss FROM av ORDER BY av.loss, value LIMIT 1""")
+       sql=f"""{GRID}, {MODEL}, ww AS (SELECT x, y FROM (SELECT unnest({SHARE_LIST}) AS x), (SELECT unnest({SHARE_LIST}) AS y) WHERE x + y > 0),
+sx AS (SELECT x, y, year, round, finish_position, -(x * pred + y * mpred) AS s FROM md, ww),
+{nll_sql('sx', 's', extra='x, y')}, av AS (SELECT x, y, avg(ll_top3) AS loss FROM nl GROUP BY 1, 2) SELECT x AS first_weight, y AS second_weight, round(loss, 6) AS loss FROM av ORDER BY av.loss, x, y LIMIT 1""")
 def component_weights(t):
+    from fieldorder.operators.joins import with_parameter
     from fieldorder.operators.probability import top_nll
 
-    d = scored(t).withColumn("value", F.explode(F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)])))
-    s = -(F.col("value") * F.col("pred") + (1 - F.col("value")) * F.col("mpred")) / 4.0
-    n = top_nll(d, ["value", *RACE], s, F.col("finish_position"), 3, t.hot_contest)
-    loss = n.groupBy("value").agg(F.avg("nll").alias("loss"))
-    return loss.agg(F.min(F.struct("loss", "value")).alias("b")).select(F.col("b.value").alias("weight"), F.round("b.loss", 6).alias("loss"))
+    d = with_parameter(with_parameter(scored(t), "x", SHARES), "y", SHARES).where("x + y > 0")
+    s = -(F.col("x") * F.col("pred") + F.col("y") * F.col("mpred"))
+    n = top_nll(d, ["x", "y", *RACE], s, F.col("finish_position"), 3, t.hot_contest)
+    loss = n.groupBy("x", "y").agg(F.avg("nll").alias("loss"))
+    best = loss.agg(F.min(F.struct("loss", "x", "y")).alias("b"))
+    return best.select(F.col("b.x").alias("first_weight"), F.col("b.y").alias("second_weight"), F.round("b.loss", 6).alias("loss"))
+
+
+@query("I06_score_equations", "results",
+       sql=score_sql(["first", "second"], "SELECT count(*) AS n FROM (SELECT year, round FROM results GROUP BY 1, 2 HAVING count(DISTINCT finish_position) FILTER (finish_position BETWEEN 1 AND 3) = 3)"))
+def weight_equations(t):
+    """The likeliest weights of two components without a grid: their score equations hold."""
+    from fieldorder.operators.grouping import checkpointed
+    from fieldorder.plans.newton import equations, newton, order_moments
+
+    d = scored(t).select(*RACE, "finish_position", (-F.col("pred")).cast("double").alias("first"), (-F.col("mpred")).cast("double").alias("second"))
+    d, names = checkpointed(d), ["first", "second"]
+    beta, _ = newton(lambda b: order_moments(d, names, b), names, [0.0, 0.0])
+    return score_rows(equations(order_moments(d, names, beta), names, [0.0, 0.0], beta))

@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from fieldorder.functions import fixed_values as fv
 from fieldorder.operators import features as ft
+from fieldorder.operators import joins as jn
 from fieldorder.operators import market as mk
 from fieldorder.operators import probability as pr
 from fieldorder.operators import resample as rs
@@ -487,14 +488,32 @@ def season_accuracy(t):
     return sc.season_accuracy(probs(t).withColumn("_s", -F.col("mpred")), t.hot_contest)
 
 
+WEIGHTS = [k / 10 for k in range(11)]
+SCALES = [0.02 * 1.4**k for k in range(12)]
+
+
+def doubles(values):
+    return "[" + ", ".join(f"{v!r}::DOUBLE" for v in values) + "]"
+
+
 @query("H40_two_score_combination", "results",
-       sql=f"""{GRID}, {MODEL}, ww AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS value), sx AS (SELECT value, year, round, finish_position, -(value * pred + (1 - value) * mpred) / 4.0 AS s FROM md, ww),
-{nll_sql('sx', 's', extra='value')} SELECT value, round(avg(-ll_top3), 6) AS order_ll FROM nl GROUP BY 1""")
+       sql=f"""{GRID}, {MODEL}, ww AS (SELECT unnest({doubles(WEIGHTS)}) AS value), cc AS (SELECT unnest({doubles(SCALES)}) AS scale),
+x AS (SELECT value, scale, year, round, finish_position, -(value * pred + (1 - value) * mpred) * scale AS s FROM md, ww, cc WHERE finish_position IS NOT NULL),
+m AS (SELECT *, max(s) OVER (PARTITION BY value, scale, year, round) AS mx FROM x),
+l AS (SELECT value, scale, year, round, s - mx - ln(sum(exp(s - mx)) OVER (PARTITION BY value, scale, year, round ORDER BY finish_position DESC ROWS UNBOUNDED PRECEDING)) AS ll FROM m),
+c AS (SELECT value, scale, year, round, sum(ll) AS ll FROM l GROUP BY ALL HAVING count(*) >= 2), g AS (SELECT value, scale, avg(ll) AS ll FROM c GROUP BY ALL)
+SELECT value, round(scale, 6) AS scale, round(ll, 6) AS order_ll FROM g QUALIFY row_number() OVER (PARTITION BY value ORDER BY ll DESC, scale) = 1""")
 def combination(t):
-    d = scored(t).withColumn("value", F.explode(F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)])))
-    s = -(F.col("value") * F.col("pred") + (1 - F.col("value")) * F.col("mpred")) / 4.0
-    n = pr.top_nll(d, ["value", *RACE], s, F.col("finish_position"), 3, t.hot_contest)
-    return n.groupBy("value").agg(F.round(F.avg(-F.col("nll")), 6).alias("order_ll"))
+    """Per weight of two scores the scale at which the whole finishing order is likeliest, and its mean log-likelihood."""
+    d = scored(t).where(F.col("finish_position").isNotNull())
+    d = jn.with_parameter(jn.with_parameter(d, "value", WEIGHTS), "scale", SCALES)
+    s = -(F.col("value") * F.col("pred") + (1 - F.col("value")) * F.col("mpred")) * F.col("scale")
+    keys = ["value", "scale", *RACE]
+    per = pr.order_gradient(d, keys, s, F.col("finish_position"), t.hot_contest).groupBy(*keys)
+    per = per.agg(F.sum("order_ll").alias("ll"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    mean = per.groupBy("value", "scale").agg(F.avg("ll").alias("ll"))
+    best = mean.groupBy("value").agg(F.min(F.struct((-F.col("ll")).alias("loss"), "scale")).alias("b"))
+    return best.select("value", F.round("b.scale", 6).alias("scale"), F.round(-F.col("b.loss"), 6).alias("order_ll"))
 
 
 @query("H41_feature_skew", "results",
