@@ -24,6 +24,9 @@ FREQUENT = 65_536
 #: Separators that str.split knows and the library may not, or the other way: such texts are encoded whole.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "᠎", "﻿")
 
+#: Words that a worker remembers: half of them met lately, half from before.
+WORDS = 800_000
+
 #: Characters of text that one round of lookups covers.
 ROUND = 1_000_000
 
@@ -60,6 +63,7 @@ class WordMemo:
             end = config["model"]["end_of_word_suffix"]
             self.final[[i for t, i in self.tok.get_vocab().items() if t.endswith(end)]] = True
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -83,11 +87,8 @@ class WordMemo:
         """Whether the text's ids are those of its words in order."""
         return self.split is not None and not any(x in text for x in (*self.special, *ODD_SPACE))
 
-    def learn(self, words: list[str]) -> bool:
-        """Put words into the memo (True: which was started anew); many words share parts between letters and signs."""
-        anew = len(self.words) > MEMO
-        if anew:
-            self.words.clear()
+    def learn(self, words: list[str]) -> None:
+        """Put words into the memo; many words share parts between letters and signs."""
         if len(self.pieces) > MEMO:
             self.pieces.clear()
         latin, others = [], []
@@ -99,14 +100,17 @@ class WordMemo:
         self.pieces.update(zip(new, self.together(new)))
         get = self.pieces.__getitem__
         self.words.update({w: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for w, ps in parts.items()})
-        return anew
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.split() if self.plain(t) else None for t in texts]
-        memo = self.words
+        if len(self.words) > WORDS // 2:  # words in use come back from the older half, the others are forgotten
+            self.before, self.words = self.words, {}
+        memo, before = self.words, self.before
         missing = {w for ws in split if ws for w in ws if w not in memo}
-        if missing and self.learn(list(missing)):
-            self.learn([w for w in {w for ws in split if ws for w in ws} if w not in memo])
+        known = missing & before.keys()
+        memo.update({w: before[w] for w in known})
+        if len(known) < len(missing):
+            self.learn(list(missing - known))
         get = memo.__getitem__
         return [self.library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
