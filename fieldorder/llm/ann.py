@@ -104,12 +104,13 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found by Euclidean distance, ties to smaller ids.
 
-    Rows with the query's own id are left out; unusable vectors (see ``usable``) take no part, on either side. Only
-    vectors of one dimension meet. Repeated rows count once. With fewer than k others, all are returned; no usable
+    Rows with the query's own id are left out; rows without an id and unusable vectors (see ``usable``) take no part,
+    on either side. Only vectors of one dimension meet. Repeated rows count once. With fewer than k others, all are returned; no usable
     rows give an empty result. Distances are in double precision on the vectors as given.
     """
-    r = rows.where(usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    q = queries.where(usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    known = usable(vector) & F.col(key).isNotNull()
+    r = rows.where(known).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    q = queries.where(known).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     n_rows, n_queries = max(1, -(-r.count() // ROWS)), max(1, -(-q.count() // QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     r = r.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int").alias("rb"), "id", "v")
@@ -132,6 +133,10 @@ def nearest(
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
             (ids, x), (qids, qx) = arrays(left), arrays(right)
+            # components whose squares leave double precision are scaled by a power of two, which changes no digit
+            largest = max(np.abs(x).max(), np.abs(qx).max())
+            scale = 2.0 ** np.frexp(largest)[1] if largest > 1e150 else 1.0
+            x, qx = x / scale, qx / scale
             forest = Forest(x, trees, bits)
             own = [np.flatnonzero(ids == i) for i in qids]
             for qid, (found, dist) in zip(qids, forest.search(qx, own, k, recall)):
@@ -142,7 +147,7 @@ def nearest(
                         break
                     if (i := int(ids[found[j]])) not in seen:
                         seen.add(i)
-                        for c, value in zip(out, (int(qid), i, float(dist[j]))):
+                        for c, value in zip(out, (int(qid), i, float(dist[j] * scale))):
                             c.append(value)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 

@@ -12,6 +12,8 @@ out is found on those sums, and only its documents are ranked one by one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,15 +56,16 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
     return s.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (= copies x size), one row per row of ``docs``.
 
     A null text has size 0; a null source is a source of its own and comes last. Documents of size 0 are never
     taken beyond their certain copies. Rows with the same id share their draw; ties of the ranking go by size, so
-    rows that agree in both are taken in either order with the same totals. An empty table gives no rows.
+    rows that agree in both are taken in either order with the same totals, and the last place of a source goes to one
+    row only. ``carry`` names columns of ``docs`` to come along. An empty table gives no rows.
     """
-    d = docs.select("doc_id", "source", size_of().alias("size"), draw().alias("_u"))
-    d = written(d, "mix-sizes")
+    d = docs.select("doc_id", "source", size_of().alias("size"), draw().alias("_u"), F.monotonically_increasing_id().alias("_n"), *carry)
+    d = written(d, "mix-sizes")  # row numbers are those of this table from here on
     t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = t.withColumn("_whole", F.floor(ratio)).withColumn("_p", ratio - F.floor(ratio))
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple
     d = written(d.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_c")), "left").drop("_s", "_c"), "mix-slices")
 
     # only the slice in which the words run out is ranked row by row: the head that fits is taken
-    rank = Window.partitionBy("source").orderBy("_q", "doc_id", "size")
+    rank = Window.partitionBy("source").orderBy("_q", "doc_id", "size", "_n")
     cut = d.where("_part = 'cut'").withColumn("_run", F.col("_before") + F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, 0)))
     cut = cut.withColumn("_more", (F.col("_run") <= F.col("_rest")).cast("int")).drop("_run")
     d = d.where("_part IS NULL OR _part <> 'cut'").withColumn("_more", F.coalesce((F.col("_part") == "all").cast("int"), F.lit(0))).unionByName(cut)
@@ -94,9 +97,9 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple
     short = short.withColumnRenamed("source", "_s")
     left = d.where("_more = 0 AND size > 0 AND _p > 0").join(short, F.col("source").eqNullSafe(F.col("_s")))
     off = F.abs(F.col("_short") - F.col("size"))
-    last = left.where(off < F.abs("_short")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "_q", "doc_id", "size")).alias("_l"))
-    last = last.select(F.col("source").alias("_s"), "_l.doc_id", "_l.size").withColumnsRenamed({"doc_id": "_id", "size": "_z"})
+    last = left.where(off < F.abs("_short")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "_q", "doc_id", "size", "_n")).alias("_l"))
+    last = last.select(F.col("source").alias("_s"), F.col("_l._n").alias("_last"))
     d = d.join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
-    chosen = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_z") == F.col("size")) & (F.col("_more") == 0)
+    chosen = F.col("_last") == F.col("_n")
     copies = (F.coalesce(F.col("_whole"), F.lit(0)) + F.col("_more") + F.coalesce(chosen, F.lit(False)).cast("int")).cast("long")
-    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return d.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *carry)

@@ -69,7 +69,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MIX_SQL = r"""
 WITH d AS MATERIALIZED (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS n, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5)
            / 281474976710656.0 AS u FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -86,12 +86,12 @@ j AS (SELECT d.*, source_size, target, floor(ratio) AS whole, ratio - floor(rati
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM j),
 h AS (SELECT *, q IS NOT NULL AND SUM(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS more FROM q),
 m AS (SELECT source AS ms, rest - COALESCE(SUM(size) FILTER (WHERE more), 0) AS short FROM h GROUP BY source, rest),
-l AS (SELECT source AS ls, doc_id AS l_id, size AS l_size FROM (
-        SELECT h.*, row_number() OVER (PARTITION BY source ORDER BY abs(short - size), q, doc_id, size) AS n
-        FROM h JOIN m ON h.source IS NOT DISTINCT FROM ms WHERE NOT more AND size > 0 AND p > 0 AND abs(short - size) < abs(short)) WHERE n = 1)
+l AS (SELECT source AS ls, n AS l_n FROM (
+        SELECT h.*, row_number() OVER (PARTITION BY source ORDER BY abs(short - size), q, doc_id, size, n) AS k
+        FROM h JOIN m ON h.source IS NOT DISTINCT FROM ms WHERE NOT more AND size > 0 AND p > 0 AND abs(short - size) < abs(short)) WHERE k = 1)
 SELECT doc_id, source, size, source_size, target,
-       CAST(whole + CAST(more AS INT) + CASE WHEN NOT more AND doc_id IS NOT DISTINCT FROM l_id AND size = l_size THEN 1 ELSE 0 END AS BIGINT) AS copies,
-       CAST(size * (whole + CAST(more AS INT) + CASE WHEN NOT more AND doc_id IS NOT DISTINCT FROM l_id AND size = l_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(whole + CAST(more AS INT) + CASE WHEN n = l_n THEN 1 ELSE 0 END AS BIGINT) AS copies,
+       CAST(size * (whole + CAST(more AS INT) + CASE WHEN n = l_n THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM h LEFT JOIN l ON source IS NOT DISTINCT FROM ls"""
 
 

@@ -132,6 +132,10 @@ def test_nearest(spark):
         hits += len({j for _, j in best} & {j for _, j in got[i]})
     assert hits >= 0.9 * 150 and set(got) == set(range(0, 1500, 100))
     assert [j for _, j in got[0]] == list(range(50, 60))
+    nameless = df.unionByName(df.limit(5).withColumn("vec_id", F.lit(None).cast("long")))
+    assert ann.nearest(nameless, nameless.where("vec_id % 100 = 0 OR vec_id IS NULL")).where("query_id IS NULL OR vec_id IS NULL").count() == 0
+    large = spark.createDataFrame([(i, [1e200 * i, -1e200]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(large, large.where("vec_id = 0"), k=3).orderBy("rank").collect()] == [(i, 1e200 * i) for i in (1, 2, 3)]
     few = ann.nearest(df.where("vec_id < 3"), q.where("vec_id = 0")).collect()
     assert [r.vec_id for r in few] != [] and len(few) == 2
     assert ann.nearest(df.where("false"), q).count() == 0
@@ -341,6 +345,31 @@ def test_mixing(spark, docs):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_the_last_place_goes_to_one_of_equal_rows(spark):
+    w = lambda n: " ".join(["w"] * n)
+    rows = [(1, w(150), "a")] * 40 + [(k, w(10), "b") for k in range(100)] + [(None, w(7), None)] * 30
+    d = spark.createDataFrame([(*x, "", "") for x in rows], DOCS).repartition(3)
+    got = mixing.mix(d, carry=["label"]).toPandas()
+    for _, g in got.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text", "source").toArrow())
+    assert sorted(got.taken) == sorted(con.sql(queries.SQL["op8_source_mixing"]).df().taken) and "label" in got
+
+
+def test_mix_stage_goes_by_row(spark):
+    import corpus_pipeline as p
+
+    w = lambda n, x="w": " ".join([x] * n)
+    rows = [(1, w(50), "a"), (1, w(9), "a"), (None, w(40), "a"), (None, w(8), "b"), (3, w(30), "b"), (3, w(30), "b"), (4, None, "b"), (5, "", None)]
+    d = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((x.doc_id, x.text) for x in p.mix_stage(spark, d.repartition(2), SF).collect())
+    want = Counter()
+    for x in mixing.mix(d.withColumn("t", F.col("text")), carry=["t"]).collect():
+        want[x.doc_id, x.t] += x.copies
+    assert got == +want and p.mix_stage(spark, d.where("false"), SF).count() == 0
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [
