@@ -51,10 +51,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    docs = docs.select(*COLUMNS)
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_d")).agg(F.max("copies").alias("_n"))
-    d = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")))
+    """Every document as often as the mix takes it.
+
+    A row is known by its id and its text, so two texts under one id (or none) have their own numbers; repeated rows
+    are one document that is taken as often as all of them together.
+    """
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text", "lang", "source", "n_chars").alias("hash"))
+    docs = docs.select(*COLUMNS).withColumn("_k", key)
+    copies = mixing.mix(docs, carry=["_k"]).groupBy(F.col("_k.id").alias("_i"), F.col("_k.hash").alias("_h")).agg(F.sum("copies").alias("_n"))
+    d = docs.withColumn("_hash", F.col("_k.hash")).drop("_k")
+    d = d.join(copies.where("_n > 0"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")))
+    d = d.dropDuplicates(["doc_id", "_hash"])
     return d.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*COLUMNS)
 
 
