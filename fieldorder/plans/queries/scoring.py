@@ -374,15 +374,29 @@ def weights(t):
     return rounded(a.join(b, "year"), ["year"], "linear_weight", "half_life_weight")
 
 
+#: Predictors of the promotion gate: the candidate, the current model, and the grid.
+GATE = {"a": "mpred", "c": "quali_position", "b": "pred"}
+
+
+def loo_sql(name: str, pred: str) -> str:
+    """l_<name>: every contest's loss at the temperature that is best on all other contests."""
+    return f"""x_{name} AS (SELECT md.year, md.round, md.finish_position, temperature, -{pred} / temperature AS s FROM md, tg),
+{nll_sql(f'x_{name}', 's', f'n_{name}', extra='temperature')}, t_{name} AS (SELECT temperature, sum(ll_top3) AS s FROM n_{name} GROUP BY 1),
+l_{name} AS (SELECT year, round, ll_top3 AS {name} FROM n_{name} JOIN t_{name} USING (temperature) QUALIFY row_number() OVER (PARTITION BY year, round ORDER BY s - ll_top3, temperature) = 1)"""
+
+
 @query("H33_promotion_gate", "results",
-       sql=f"""{LOSSES}, df AS (SELECT year, round, a - b AS d, a - (a * 0.98 + 0.05) AS e FROM ls), {draws_sql('df')},
+       sql=f"""{GRID}, {MODEL}, tg AS (SELECT unnest({T_LIST}) AS temperature), {", ".join(loo_sql(n, c) for n, c in GATE.items())},
+df AS (SELECT year, round, a - b AS d, a - c AS e FROM l_a JOIN l_b USING (year, round) JOIN l_c USING (year, round) WHERE a IS NOT NULL), {draws_sql('df')},
 m AS (SELECT rep, avg(d) AS v, avg(e) AS u FROM dr JOIN num USING (i) GROUP BY rep),
 q AS (SELECT quantile_cont(v, 0.025) AS lo_grid, quantile_cont(u, 0.025) AS lo_cur FROM m),
-a AS (SELECT avg(d) AS mean_grid, avg(e) AS mean_cur, count(*) AS n FROM df)
+z AS (SELECT avg(d) AS mean_grid, avg(e) AS mean_cur, count(*) AS n FROM df)
 SELECT n, round(mean_cur, 6) AS minus_current, round(lo_cur, 6) AS minus_current_low, round(mean_grid, 6) AS minus_grid, round(lo_grid, 6) AS minus_grid_low,
-  CASE WHEN n < 5 THEN 'promote' WHEN mean_cur > 0.05 AND lo_cur > 0 THEN 'keep' WHEN mean_grid > 0 AND lo_grid > 0 THEN 'keep' ELSE 'promote' END AS decision FROM a, q""")
+  CASE WHEN n < 5 THEN 'promote' WHEN mean_cur > 0.05 AND lo_cur > 0 THEN 'keep' WHEN mean_grid > 0 AND lo_grid > 0 THEN 'keep' ELSE 'promote' END AS decision FROM z, q""")
 def promotion(t):
-    d = losses(t).withColumn("c", F.col("a") * 0.98 + 0.05)
+    """Candidate, current model and grid, each at temperatures fitted without the contest that is scored."""
+    parts = [sc.leave_one_out(nll_table(t, c), RACE).select(*RACE, F.col("ll_top3").alias(n)) for n, c in GATE.items()]
+    d = parts[0].join(parts[1], RACE).join(parts[2], RACE).where("a IS NOT NULL")
     return sc.promotion(d, "a", "c", "b", RACE, N_BOOT)
 
 
