@@ -211,14 +211,21 @@ def folds(t):
 
 
 @query("I08_future_state", "results",
-       sql=FUTURE + """, st AS (SELECT entrant, max(points) AS best, count(*) AS starts FROM results GROUP BY 1)
-SELECT fu.year, fu.round, fu.entrant, best, starts FROM fu LEFT JOIN st USING (entrant)""")
+       sql=FUTURE + """, k AS (SELECT *, row_number() OVER (PARTITION BY entrant ORDER BY year DESC, round DESC) AS k FROM results),
+st AS (SELECT entrant, avg(finish_position) FILTER (k <= 5) AS form, CASE WHEN count(dnf) FILTER (k <= 10) >= 3 THEN avg(dnf) FILTER (k <= 10) END AS dnf_rate, least(count(*) / 100.0, 1) AS experience FROM k GROUP BY 1),
+vn AS (SELECT fu.year, fu.round, fu.entrant, avg(b.finish_position) AS v FROM fu LEFT JOIN results b ON b.venue = fu.venue AND b.entrant = fu.entrant AND b.year >= fu.year - 5 GROUP BY 1, 2, 3)
+SELECT year, round, entrant, round(form, 6) AS driver_form_5, round(dnf_rate, 6) AS dnf_rate, round(CAST(experience AS DOUBLE), 6) AS driver_experience_norm, round(v, 6) AS circuit_avg_finish FROM vn LEFT JOIN st USING (entrant)""")
 def future_state(t):
+    """The entrant's columns as they stand at the first contest to come, for all of them; the circuit's column of each."""
     from fieldorder.operators.joins import future_rows
 
-    state = t.results.groupBy("entrant").agg(F.max("points").alias("best"), F.count(F.lit(1)).alias("starts"))
-    d = future_rows(t.results, remaining(t), []).join(state, "entrant", "left")
-    return d.select(*KEY, "best", "starts")
+    s, state = sizes(t), ["driver_form_5", "dnf_rate", "driver_experience_norm"]
+    f = future_rows(t.results, remaining(t), [c for c in t.results.columns if c not in (*KEY, "venue", "team")])
+    d = t.results.unionByName(f.withColumn("_to_come", F.lit(True)), allowMissingColumns=True)
+    first = f.agg(F.min(F.struct("year", "round")).alias("m")).select("m.year", "m.round")
+    now = ft.experience(ft.dnf_rate(ft.driver_form(d, s), s), s).where("_to_come").join(F.broadcast(first), RACE, "left_semi")  # one row
+    circuit = ft.venue_history(d).where("_to_come").select(*KEY, "circuit_avg_finish")
+    return rounded(circuit.join(now.select("entrant", *state), "entrant", "left"), KEY, *state, "circuit_avg_finish")
 
 
 SHARES = [k / 20 for k in range(9)]
