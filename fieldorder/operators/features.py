@@ -187,13 +187,14 @@ def rank_correlation(
 ) -> DataFrame:
     """Spearman: Pearson correlation of average ranks over rows with both values.
 
-    Every group of df gives a row; the value is null below ``least`` rows.
+    Every group of df gives a row; the value is null below ``least`` rows and where a side is constant.
     """
     both = a.isNotNull() & b.isNotNull()
     d = df.select(*keys, F.when(both, a).alias("_a"), F.when(both, b).alias("_b"))
     d = with_rank(d, keys, F.col("_a"), "_ra", "average", hot=hot)
     d = with_rank(d, keys, F.col("_b"), "_rb", "average", hot=hot)
-    g = d.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("_c"), F.count("_a").alias("_n"))
+    spread = F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))  # one value alone has no correlation
+    g = d.groupBy(*keys).agg((F.covar_pop("_ra", "_rb") / spread).alias("_c"), F.count("_a").alias("_n"))
     return g.select(*keys, F.when((F.col("_n") >= least) & ~F.isnan("_c"), F.col("_c")).alias(out))
 
 
