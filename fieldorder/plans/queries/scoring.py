@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldorder.functions import fixed_values as fv
+from fieldorder.operators import failures as fl
 from fieldorder.operators import features as ft
 from fieldorder.operators import joins as jn
 from fieldorder.operators import market as mk
@@ -12,9 +13,10 @@ from fieldorder.operators import resample as rs
 from fieldorder.operators import scoring as sc
 from fieldorder.operators.grouping import with_index
 from fieldorder.plans.models import target_position
-from fieldorder.plans.queries.history import KEY, rounded, sizes
+from fieldorder.plans.queries import field, scalars  # noqa: F401  (their queries give the conditions of H36)
+from fieldorder.plans.queries.history import BACK, KEY, rounded, sizes
 from fieldorder.plans.queries.probability import GRID, MODEL, T_LIST, TGRID, contexts, nll_sql, nll_table, scored
-from fieldorder.plans.registry import query
+from fieldorder.plans.registry import QUERIES, query
 from fieldorder.plans.walk_forward import LeastSquares
 
 RACE = ["year", "round"]
@@ -465,6 +467,61 @@ def chaos(t):
     return rounded(sc.chaos_share(d, "a", F.col("chaos")), [], "share_all", "share_worst")
 
 
+#: Feature queries by entrant, by team and by contest.
+CONDITION_FEATURES = ["D04_dnf_rate", "D03_points_before", "E08_penalty_and_sprint", "D05_venue_history", "E02_championship_pressure", "B16_street_and_rate",
+                      "E04_car_pace_delta", "E10_quali_spread_and_order", "E11_quali_shuffle"]
+KNOWN = [c for c in (*fl.BEFORE, *fl.AFTER) if c != "wind_ms"]
+#: The entrants' rows that the conditions are asked of: what the feature queries give, the points so far as the rating.
+CONDITION_ROWS = f"""{LOSSES}, {BACK}, {", ".join(f"x{i} AS ({QUERIES[n].sql})" for i, n in enumerate(CONDITION_FEATURES))},
+f AS (SELECT year, round, entrant, rb.team, mpred AS pred, 1 - dnf_rate AS p_finish, cum_points_before AS rating, rb.grid_position, rb.finish_position, rb.dnf,
+  car_pace_delta_pct, sprint_position_rel, circuit_appearances, championship_pressure, is_wet, precip_tenths_mm / 10.0 AS precip_mm, is_street_circuit,
+  circuit_safety_car_rate, quali_shuffle, quali_spread_pct, temp_c
+  FROM rb JOIN (SELECT year, round, entrant, mpred FROM md) m USING (year, round, entrant) LEFT JOIN x0 USING (year, round, entrant) LEFT JOIN x1 USING (year, round, entrant)
+  LEFT JOIN x2 USING (year, round, entrant) LEFT JOIN x3 USING (year, round, entrant) LEFT JOIN x4 USING (year, round, entrant) LEFT JOIN x5 USING (year, round, entrant)
+  LEFT JOIN (SELECT year, round, team, car_pace_delta_pct FROM x6) e USING (year, round, team) LEFT JOIN x7 USING (year, round) LEFT JOIN x8 USING (year, round)
+  LEFT JOIN weather w USING (year, round)),
+n AS (SELECT *, row_number() OVER (PARTITION BY year, round ORDER BY pred NULLS LAST, entrant) AS k,
+  row_number() OVER (PARTITION BY year, round ORDER BY rating DESC NULLS LAST, pred NULLS LAST, entrant) AS r FROM f),
+tp2 AS (SELECT year, round, team, max(car_pace_delta_pct) AS p FROM f WHERE car_pace_delta_pct IS NOT NULL GROUP BY 1, 2, 3),
+tk AS (SELECT *, row_number() OVER (PARTITION BY year, round ORDER BY p, team) AS i, min(p) OVER (PARTITION BY year, round) AS p1 FROM tp2),
+tg AS (SELECT year, round, max(CASE WHEN i = 2 THEN p - p1 END) AS top2_team_gap_pct, count(*) FILTER (p - p1 <= 0.3) AS teams_within_0_3pct FROM tk GROUP BY 1, 2),
+c0 AS (SELECT year, round, coalesce(max(is_wet), 0) AS wet, max(precip_mm) AS precip_mm, max(is_street_circuit) AS street, max(circuit_safety_car_rate) AS sc_rate,
+  bool_or(sprint_position_rel <> 0.5) AS sprint_weekend, year IN (2014, 2017, 2022, 2026) AS reg_reset_year, round <= 3 AS season_opener_3,
+  max(circuit_appearances) <= 1 AS new_circuit, max(quali_shuffle) AS quali_shuffle, max(quali_spread_pct) AS quali_spread,
+  NOT coalesce(bool_or(k = 1 AND grid_position = 1), false) AS fav_not_on_pole, max(grid_position) FILTER (k = 1) AS fav_grid,
+  max(pred) FILTER (k = 2) - max(pred) FILTER (k = 1) AS fav_margin, max(p_finish) FILTER (k = 1) AS fav_p_finish,
+  count(*) FILTER (r <= 5 AND rating IS NOT NULL AND grid_position > 6) AS top5_rating_out_of_top6, count(DISTINCT team) FILTER (grid_position <= 2) = 1 AS front_row_teammates,
+  max(temp_c) AS temp_c, min(championship_pressure) AS title_pressure, coalesce(bool_or(k = 1 AND dnf = 1), false) AS fav_dnf, count(*) FILTER (dnf = 1) AS n_dnf,
+  count(*) FILTER (r <= 5 AND rating IS NOT NULL AND dnf = 1) AS top5_rating_dnf, arg_min(grid_position, k) FILTER (finish_position = 1) AS winner_grid,
+  min(k) FILTER (finish_position = 1) AS winner_model_rank, coalesce(bool_or(grid_position = 1 AND dnf = 1), false) AS pole_dnf FROM n GROUP BY 1, 2),
+cx AS (SELECT a, a >= (SELECT quantile_cont(a, 0.75) FROM ls) AS fail, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in KNOWN)}
+  FROM c0 JOIN tg USING (year, round) JOIN ls USING (year, round)),
+un AS (UNPIVOT (SELECT * FROM cx) ON {", ".join(KNOWN)} INTO NAME condition VALUE x)"""
+
+
+def condition_rows(t):
+    """Wind is not among the given weather, so that condition has no values."""
+    d = ft.pit_lane_to_back(t.results, sizes(t)).select(*KEY, "team", "grid_position", "finish_position", "dnf")
+    d = d.join(scored(t).select(*KEY, F.col("mpred").alias("pred")), KEY)
+    for name in CONDITION_FEATURES:
+        x = QUERIES[name].build(t)
+        d = d.join(x, [c for c in (*KEY, "team") if c in x.columns], "left")
+    w = t.weather.select(*RACE, "is_wet", (F.col("precip_tenths_mm") / 10.0).alias("precip_mm"), "temp_c", F.lit(None).cast("double").alias("wind_ms"))
+    return d.join(w, RACE, "left").withColumn("p_finish", 1 - F.col("dnf_rate")).withColumnRenamed("cum_points_before", "rating")
+
+
+@query("H36_all_conditions", "results", "weather",
+       sql=CONDITION_ROWS + """, rk AS (SELECT condition, fail, x, rank() OVER (PARTITION BY condition ORDER BY x) + (count(*) OVER (PARTITION BY condition, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY condition ORDER BY a) + (count(*) OVER (PARTITION BY condition, a) - 1) / 2.0 AS ra FROM un)
+SELECT condition, round(avg(x) FILTER (fail), 4) AS worst_mean, round(avg(x) FILTER (NOT fail), 4) AS rest_mean,
+  CASE WHEN isfinite(corr(rx, ra)) THEN round(corr(rx, ra), 4) END AS rho FROM rk GROUP BY 1""")
+def all_conditions(t):
+    d = fl.contest_conditions(condition_rows(t), t.hot_contest).join(losses(t).select(*RACE, "a"), RACE)
+    d = sc.failure_conditions(d, "a", [*fl.BEFORE, *fl.AFTER])
+    # means of features that have six places meet halves at six places, where the order of a sum would decide
+    return d.select("condition", *[F.round(c, 4).alias(c) for c in ("worst_mean", "rest_mean", "rho")])
+
+
 @query("H37_unreliable_contests", "results",
        sql=f"""{LOSSES}, g AS (SELECT year, round, avg(abs(quali_position - finish_position)) AS shuffle, stddev_samp(best_time_ms) / 1000.0 AS spread,
   corr(quali_position, best_time_ms) AS ord FROM results GROUP BY 1, 2),
