@@ -100,7 +100,7 @@ def event_hours(t):
        sql=RACES + """, e AS (SELECT event_id, epoch_us(ts) // 3600000000 AS h FROM events)
 SELECT e.event_id, arg_min(rt.round, race_h) FILTER (rt.round IS NOT NULL) AS round FROM e LEFT JOIN rt ON race_h - h BETWEEN 0 AND 96 GROUP BY 1""")
 def first_after(t):
-    d = jn.first_after(event_hours(t), race_times(t), "h", "race_h", "round", 96, t.hot_events)
+    d = jn.first_after(event_hours(t), race_times(t), "h", "race_h", "round", 96, t.forced)
     return d.select("event_id", "round")
 
 
@@ -109,7 +109,7 @@ def first_after(t):
 j AS (SELECT e.event_id, rt.round, row_number() OVER (PARTITION BY e.event_id ORDER BY abs(race_h - h), rt.round) AS k FROM e LEFT JOIN rt ON abs(race_h - h) <= 36)
 SELECT event_id, round FROM j WHERE k = 1""")
 def nearest(t):
-    d = jn.nearest(event_hours(t), race_times(t), "h", "race_h", "round", 36, t.hot_events)
+    d = jn.nearest(event_hours(t), race_times(t), "h", "race_h", "round", 36, t.forced)
     return d.select("event_id", "round")
 
 

@@ -108,3 +108,49 @@ def test_recent_years_counts_same_year_visits(spark):
     got = h.with_recent_years(df, ["k"], "year", ["round"], 5, {"s": F.col("v"), "n": F.lit(1)})
     got = {(r["year"], r["round"]): (r["s"], r["n"]) for r in got.collect()}
     assert got == {(2000, 1): (0, 0), (2005, 2): (9, 1), (2005, 9): (13, 2), (2006, 1): (6, 2)}
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_running_max_and_log_prefix(frame, hot):
+    df, pdf = frame
+    x = F.col("v") * 200 - F.col("t")
+    d = g.with_log_prefix(g.with_running_max(df, ["k"], ["t"], x, "m", hot), ["k"], ["t"], x, "l", hot)
+    want = []
+    for k, part in pdf.sort_values("t").groupby("k"):
+        seen = []
+        for t, v in zip(part["t"], part["v"]):
+            if not np.isnan(v):
+                seen.append(v * 200 - t)
+            top = max(seen, default=None)
+            want.append((float(k), float(t), top, top if top is None else round(top + float(np.log(np.exp(np.array(seen) - top).sum())), 9)))
+    assert rows(d, "k", "t", "m", "l") == sorted(want)
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_no_frame_to_the_end_of_a_group(frame, hot):
+    """Such a frame is gone through anew for every row; what lies behind is read in reverse order."""
+    df, pdf = frame
+    d = g.with_nearby(df, ["k"], ["t"], F.col("v"), "b", "a", hot)
+    assert "unboundedfollowing" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+    o = pdf.sort_values("t")
+    o["b"] = o.groupby("k")["v"].transform(lambda s: s.ffill())
+    o["a"] = o.groupby("k")["v"].transform(lambda s: s.bfill().shift(-1))
+    want = sorted(tuple(None if pd.isna(x) else round(float(x), 9) for x in r) for r in o[["k", "t", "b", "a"]].to_numpy())
+    assert rows(d, "k", "t", "b", "a") == want
+
+
+@pytest.mark.parametrize("name", ["F08_best_runs", "F10_practice_features", "F12_sessions_side_by_side", "C09_first_within_four_days", "C10_nearest_within_36h"])
+def test_a_large_table_is_not_a_large_group(spark, monkeypatch, name):
+    """More events than one group may have: runs of an entrant and a few races are still no reason to sort all rows."""
+    from fieldorder.plans import load_queries
+    from fieldorder.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    want = load_queries()[name].build(tables.Tables(spark, folder)).collect()
+    monkeypatch.setattr(tables, "GROUP_ROW_LIMIT", 10)
+    sorts = []
+    monkeypatch.setattr(g, "_runs", lambda *a, **k: sorts.append(a))
+    t = tables.Tables(spark, folder)
+    assert t.hot_events and not t.hot_laps
+    d = load_queries()[name].build(t)
+    assert not sorts and sorted(d.collect(), key=str) == sorted(want, key=str)
