@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldorder.operators.grouping import join_groups, with_index, with_prefix, with_totals
+from fieldorder.operators.grouping import join_groups, with_index, with_log_prefix, with_totals
 
 #: Strongest rows handled one by one in exact third-place sums.
 HEAD = 16
@@ -22,6 +22,8 @@ HEAD = 16
 TERMS = 15
 #: Interpolation points per strength cell in pairwise sums (error below 1e-15).
 POINTS = 14
+#: A part of a sum that leaves it as it is in double precision (an eighth of half a unit in the last place).
+LOST = 2.0**-56
 #: Beyond this distance the logistic curve is 0 or 1 in double precision.
 FAR = 40
 
@@ -100,20 +102,20 @@ def order_gradient(
     """Gradient of the order log-likelihood for each placed row, plus the row's own term.
 
     Rows need a place 1..n without gaps in meaning only (order counts). Remaining strength S_j is a
-    running sum from the back; the inverse sums run from the front. ``order_ll`` is s_j - ln S_j
+    running sum from the back; the inverse sums run from the front. Both are kept as logarithms, so a
+    row far behind the strongest has its own shares instead of 0 / 0. ``order_ll`` is s_j - ln S_j
     (0 for the last row), so its group sum is the log-likelihood.
     """
     d = df.where(place.isNotNull()).withColumn("_s", s).withColumn("_p", place)
-    d = with_totals(d, keys, {"_m": F.max("_s"), "_n": F.count(F.lit(1)), "_last": F.max("_p")}, hot)
-    d = d.withColumn("_w", F.exp(F.col("_s") - F.col("_m")))
-    d = with_prefix(d, keys, [F.desc("_p")], {"_rem": F.col("_w")}, hot, inclusive=True)
+    d = with_totals(d, keys, {"_last": F.max("_p")}, hot)
+    d = with_log_prefix(d, keys, [F.desc("_p"), F.asc_nulls_first("_s")], F.col("_s"), "_rem", hot)
     final = F.col("_p") == F.col("_last")
-    d = with_prefix(d, keys, ["_p"], {"_inv": F.when(~final, 1.0 / F.col("_rem"))}, hot, inclusive=True)
+    d = with_log_prefix(d, keys, ["_p", F.desc_nulls_last("_s")], F.when(~final, -F.col("_rem")), "_inv", hot)
     won = F.when(final, 0.0).otherwise(1.0)
-    gradient = won - F.col("_w") * F.coalesce("_inv", F.lit(0.0))
-    own = F.when(final, 0.0).otherwise(F.col("_s") - F.col("_m") - F.log("_rem"))
-    d = d.withColumn("gradient", gradient).withColumn("order_ll", own)
-    return d.drop("_s", "_p", "_m", "_n", "_last", "_w", "_rem", "_inv")
+    lost = F.when(F.col("_s").isNotNull(), F.coalesce(F.exp(F.col("_s") + F.col("_inv")), F.lit(0.0)))
+    own = F.when(final, 0.0).otherwise(F.col("_s") - F.col("_rem"))
+    d = d.withColumn("gradient", won - lost).withColumn("order_ll", own)
+    return d.drop("_s", "_p", "_last", "_rem", "_inv")
 
 
 def place_probabilities(
