@@ -273,28 +273,39 @@ def subset_nll(
 
     The random set of other finishers is drawn ``n_samples`` times with draws fixed by hashes of
     (group, row, sample). Rows and samples meet as a projection; sums per (group, sample) are
-    combined map-side.
+    combined map-side. Rows so weak that all of them together are lost in the rounding of every sum
+    (LOST of the smallest one it is added to) are not drawn.
     """
     d = df.select(*keys, who, s.alias("_s"), F.least(F.greatest(q, F.lit(1e-4)), F.lit(1 - 1e-4)).alias("_q"),
                   F.when(place.between(1, k), place).alias("_p"))
-    d = with_totals(d, keys, {"_m": F.max("_s"), "_n": F.count_if(F.col("_p").isNotNull()),
-                              "_lq": F.sum(F.when(F.col("_p").isNotNull(), F.log("_q")))}, hot)
+    placed = F.col("_p").isNotNull()
+    d = with_totals(d, keys, {"_m": F.max("_s"), "_n": F.count_if(placed), "_rows": F.count(F.lit(1)),
+                              "_lq": F.sum(F.when(placed, F.log("_q")))}, hot)
     d = d.where(F.col("_n") == k)
     lam = [powers[min(j, len(powers) - 1)] for j in range(k)]
+    fixed = {}
     for j in range(k):
-        d = d.withColumn(f"_w{j}", F.exp((F.col("_s") - F.col("_m")) * lam[j]))
-    fixed = []
+        z = (F.col("_s") - F.col("_m")) * lam[j]
+        d = d.withColumn(f"_w{j}", F.exp(z))
+        fixed[f"_c{j}"] = F.sum(F.when(F.col("_p") >= j + 1, F.col(f"_w{j}")))
+        fixed[f"_z{j}"] = F.max(F.when(F.col("_p") == j + 1, z))
+    d = with_totals(d, keys, fixed, hot)
+    counts = F.lit(False)
     for j in range(k):
-        fixed.append(F.sum(F.when(F.col("_p") >= j + 1, F.col(f"_w{j}"))).alias(f"_c{j}"))
-        fixed.append(F.max(F.when(F.col("_p") == j + 1, F.col(f"_w{j}"))).alias(f"_o{j}"))
-    top = d.where(F.col("_p").isNotNull()).groupBy(*keys).agg(F.max("_lq").alias("_lq"), *fixed)
-    others = d.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    ran = F.col("_p").isNull() & (hash_uniform(*[F.col(c) for c in keys], F.col(who), F.col("_b")) < F.col("_q"))
-    drawn = others.groupBy(*keys, "_b").agg(
-        *[F.sum(F.when(ran, F.col(f"_w{j}")).otherwise(0.0)).alias(f"_W{j}") for j in range(k)]
+        counts = counts | ~(F.col(f"_w{j}") * F.col("_rows") <= F.col(f"_c{j}") * LOST)
+    d = d.where(placed | counts)
+    # the draws cost far more than the rows: spread them anew
+    spread = max(d.sparkSession.sparkContext.defaultParallelism, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = d.withColumn("_limit", F.lower(F.lpad(F.hex(F.ceil(F.col("_q") * float(2**32))), 8, "0"))).repartition(spread, *keys, who)
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, who, "_b")])
+    # a hash as text is below the limit as text where its first 32 bits are below it as a number
+    drawn = d.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(n_samples)))).where(placed | (F.md5(text) < F.col("_limit")))
+    drawn = drawn.groupBy(*keys, "_b").agg(
+        F.max("_lq").alias("_lq"), *[F.max(f"_{x}{j}").alias(f"_{x}{j}") for j in range(k) for x in "cz"],
+        *[F.sum(F.when(~placed, F.col(f"_w{j}")).otherwise(0.0)).alias(f"_W{j}") for j in range(k)],
     )
-    drawn = join_groups(drawn, top, keys)
-    chance = F.lit(1.0)
+    chance, first = F.lit(1.0), F.max("_lq")
     for j in range(k):
-        chance = chance * F.col(f"_o{j}") / (F.col(f"_W{j}") + F.col(f"_c{j}"))
-    return drawn.groupBy(*keys).agg((-(F.max("_lq") + F.log(F.avg(chance)))).alias("nll"))
+        chance = chance / (F.col(f"_W{j}") + F.col(f"_c{j}"))
+        first = first + F.max(f"_z{j}")
+    return drawn.groupBy(*keys).agg((-(first + F.log(F.avg(chance)))).alias("nll"))

@@ -93,3 +93,39 @@ def test_subset_nll_near_exact_expectation(spark):
         rest = sum(w[3 + i] for i, m in enumerate(mask) if m)
         e += prob * np.prod([w[j] / (rest + w[j:3].sum()) for j in range(3)])
     assert abs(got - -(np.log(q[:3]).sum() + math.log(e))) < 0.02
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_gradient_of_rows_far_behind(spark, hot):
+    """Strengths further apart than exp can hold: each row is measured against what is left when its place is drawn."""
+    s = [0.0, -3.0, -1500.0, -1500.5, -900.0, -4000.0, -4001.0]
+    df = spark.createDataFrame([(1, i, v, i + 1) for i, v in enumerate(s)], "g int, who bigint, s double, p int")
+    got = {r["who"]: (r["gradient"], r["order_ll"]) for r in pr.order_gradient(df, ["g"], F.col("s"), F.col("p"), hot).collect()}
+    g, ll = np.zeros(len(s)), np.zeros(len(s))
+    for j in range(len(s) - 1):
+        left = np.array(s[j:])
+        total = left.max() + math.log(np.exp(left - left.max()).sum())
+        g[j:] -= np.exp(left - total)
+        g[j] += 1
+        ll[j] = s[j] - total
+    assert np.allclose([got[i][0] for i in range(len(s))], g, atol=1e-9)
+    assert np.allclose([got[i][1] for i in range(len(s))], ll, atol=1e-9)
+
+
+def test_subset_draws_only_what_counts(spark):
+    """Rows that no sum can tell are not drawn; the loss is that of a loop over all rows and samples."""
+    import hashlib
+
+    s = [0.0, -1.0, -2.0, -0.5, -1.5, *(-60.0 - i for i in range(200)), -2000.0]
+    q = [0.75 + (i % 5) * 0.05 for i in range(len(s))]
+    rows = [(7, i, v, q[i], i + 1 if i < 3 else None) for i, v in enumerate(s)]
+    df = spark.createDataFrame(rows, "g int, who bigint, s double, q double, p int")
+    d = pr.subset_nll(df, ["g"], "who", F.col("s"), F.col("q"), F.col("p"), 50, False)
+    total = 0.0
+    for b in range(1, 51):
+        ran = [i for i in range(3, len(s)) if int(hashlib.md5(f"7|{i}|{b}".encode()).hexdigest()[:8], 16) / 2**32 < q[i]]
+        rest = sum(math.exp(s[i]) for i in ran)
+        total += np.prod([math.exp(s[j]) / (rest + sum(map(math.exp, s[j:3]))) for j in range(3)])
+    assert abs(d.first()["nll"] - -(sum(map(math.log, q[:3])) + math.log(total / 50))) < 1e-12
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5") < plan.index("_rows")  # the filter on strength lies below the draws
