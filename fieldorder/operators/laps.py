@@ -1,4 +1,8 @@
-"""Lap and run analytics: long runs, wear, pace per entrant and team, session summaries."""
+"""Lap and run analytics: long runs, wear, pace per entrant and team, session summaries.
+
+``hot`` speaks of the groups inside one entrant's laps (runs, own sessions), ``hot_session`` of whole sessions: those
+are large long before an entrant's laps are, and runs need no split plan for it.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldorder.operators.features import clip
 from fieldorder.operators.grouping import (
+    checkpointed,
+    is_hot,
     join_groups,
     quantiles,
     with_prefix,
@@ -147,18 +153,22 @@ def compound_offsets(paces: DataFrame, session: Sequence[str]) -> DataFrame:
     )
 
 
-def best_runs(paces: DataFrame, session: Sequence[str], hot: bool | None, least: int = 6) -> DataFrame:
+def best_runs(paces: DataFrame, session: Sequence[str], hot_session: bool | None, least: int = 6) -> DataFrame:
     """Per session and entrant: best pace, its gap to the field's median (+-5 %), laps, wear.
 
-    Sessions with fewer than ``least`` entrants on long runs drop out.
+    Sessions with fewer than ``least`` entrants on long runs drop out. Where sessions are measured or split, their rows
+    are made once.
     """
     n = F.when(F.col("deg_pct").isNotNull(), F.col("n_laps"))
     b = paces.groupBy(*session, "entrant").agg(
         F.min("pace_s").alias("pace_s"), F.sum("n_laps").alias("n_laps"),
         F.try_divide(F.sum(F.col("deg_pct") * F.col("n_laps")), F.sum(n)).alias("deg"),
     )
-    b = with_quantiles(b, session, F.col("pace_s"), {"_field": 0.5}, hot)
-    b = with_totals(b, session, {"_runs": F.count(F.lit(1))}, hot).where(F.col("_runs") >= least)
+    if hot_session is not False:
+        b = checkpointed(b)
+        hot_session = is_hot(b, session, hot_session)
+    b = with_quantiles(b, session, F.col("pace_s"), {"_field": 0.5}, hot_session)
+    b = with_totals(b, session, {"_runs": F.count(F.lit(1))}, hot_session).where(F.col("_runs") >= least)
     gap = clip((F.col("pace_s") / F.col("_field") - 1) * 100, -5.0, 5.0)
     return b.withColumn("gap", gap).withColumn("deg", clip(F.col("deg"), -0.5, 0.5)).drop("_field", "_runs")
 
@@ -189,7 +199,7 @@ def team_pace(best: DataFrame, weekend: Sequence[str], weights: dict[str, float]
 
 def practice_pace(
     laps: DataFrame, lineup: DataFrame, weekend: Sequence[str], hot: bool | None, clean: bool = False,
-    adjust_age: bool = False, weights: dict[str, float] | None = None,
+    adjust_age: bool = False, weights: dict[str, float] | None = None, hot_session: bool | None = None,
 ) -> DataFrame:
     """Long-run features per entrant and weekend; rows without any value drop out.
 
@@ -197,7 +207,7 @@ def practice_pace(
     """
     session, run = [*weekend, "session"], [*weekend, "session", "entrant", "stint_number"]
     d = with_age(long_run_laps(laps, run, session, hot, clean), run, hot)
-    best = best_runs(run_paces(d, run, session, hot, adjust_age), session, hot)
+    best = best_runs(run_paces(d, run, session, hot, adjust_age), session, hot_session)
     best = best.join(lineup.select(*weekend, "entrant", "team"), [*weekend, "entrant"], "left")
     out = lineup.select(*weekend, "entrant", "team").join(weekend_pace(best, weekend, weights), [*weekend, "entrant"], "left")
     out = out.join(team_pace(best, weekend, weights), [*weekend, "team"], "left")
@@ -205,7 +215,7 @@ def practice_pace(
     return out.where(some)
 
 
-def session_metrics(laps: DataFrame, session: Sequence[str], hot: bool | None) -> DataFrame:
+def session_metrics(laps: DataFrame, session: Sequence[str], hot: bool | None, hot_session: bool | None = None) -> DataFrame:
     """Per entrant: best-lap gap, long-run delta and laps of a live session.
 
     Laps of 50-150 s within 12 s of the entrant's median count. The long-run delta is the mean lap
@@ -216,7 +226,7 @@ def session_metrics(laps: DataFrame, session: Sequence[str], hot: bool | None) -
     d = with_quantiles(d, own, F.col("lap_s"), {"_med": 0.5}, hot)
     d = d.where(F.abs(F.col("lap_s") - F.col("_med")) <= 12.0).drop("_med")
     whole = d.groupBy(*session).agg(F.min("lap_s").alias("_best"))
-    whole = whole.join(quantiles(d, session, F.col("lap_s"), {"_mid": 0.5}, hot), list(session))
+    whole = whole.join(quantiles(d, session, F.col("lap_s"), {"_mid": 0.5}, hot_session), list(session))
     runs = d.groupBy(*own, "stint_number").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("lap_s").alias("_s"), F.min("lap_s").alias("_b")
     )
@@ -245,7 +255,7 @@ def merge_sessions(metrics: dict[str, DataFrame], keys: Sequence[str], columns:
     return u.groupBy(*keys).agg(*wide, F.max_by("_s", F.struct(when, "_s")).alias("last_session"))
 
 
-def sprint_pace(laps: DataFrame, session: Sequence[str], hot: bool | None) -> DataFrame:
+def sprint_pace(laps: DataFrame, session: Sequence[str], hot: bool | None, hot_session: bool | None = None) -> DataFrame:
     """Best gap (0..10 s) and mid-race pace against the session's (-5..10 s).
 
     The middle leaves out the first lap and the last two of the session; an entrant (or session)
@@ -253,18 +263,18 @@ def sprint_pace(laps: DataFrame, session: Sequence[str], hot: bool | None) -> Da
     """
     own = [*session, "entrant"]
     d = laps.where(F.col("lap_s").between(40.0, 200.0))
-    d = with_totals(d, session, {"_last": F.max("lap_number"), "_best": F.min("lap_s")}, hot)
+    d = with_totals(d, session, {"_last": F.max("lap_number"), "_best": F.min("lap_s")}, hot_session)
     middle = (F.col("lap_number") > 1) & (F.col("lap_number") < F.col("_last") - 1)
     d = d.withColumn("_mid", F.when(middle, F.col("lap_s")))
 
-    def pace(keys: Sequence[str], out: str) -> DataFrame:
+    def pace(keys: Sequence[str], out: str, hot: bool | None) -> DataFrame:
         a = quantiles(d, keys, F.col("_mid"), {"_m": 0.5}, hot).join(
             quantiles(d, keys, F.col("lap_s"), {"_a": 0.5}, hot), list(keys)
         )
         return a.select(*keys, F.coalesce("_m", "_a").alias(out))
 
     g = d.groupBy(*own).agg(F.min("lap_s").alias("_own"), F.max("_best").alias("_best"))
-    g = join_groups(g.join(pace(own, "_pace"), own), pace(session, "_field"), session)
+    g = join_groups(g.join(pace(own, "_pace", hot), own), pace(session, "_field", hot_session), session)
     return g.select(
         *own, clip(F.col("_own") - F.col("_best"), 0.0, 10.0).alias("sprint_best_gap_s"),
         clip(F.col("_pace") - F.col("_field"), -5.0, 10.0).alias("sprint_pace_delta_s"),

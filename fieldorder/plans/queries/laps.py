@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldorder.operators import laps as lp
+from fieldorder.operators.grouping import checkpointed
 from fieldorder.plans.queries.history import KEY, rounded
 from fieldorder.plans.registry import query
 
@@ -36,25 +37,25 @@ WEIGHTS = {"FP1": 0.5, "FP2": 1.0, "FP3": 0.5}
 def run_laps(t):
     d = t.laps.withColumn("lap_s", F.col("lap_ms") / 1000.0)
     d = d.withColumn("is_pit_out_lap", F.col("is_pit_out_lap") & (F.col("entrant") % 4 == 0)).drop("lap_ms")
-    d = lp.laps_with_stints(d, OWN, ["lap_number"], t.hot_events)
+    d = lp.laps_with_stints(d, OWN, ["lap_number"], t.hot_laps)
     k = (F.col("entrant") + F.col("stint_number")) % 4
     return d.withColumn("compound", F.when(k == 0, "SOFT").when(k == 1, "MEDIUM").when(k == 2, "HARD"))
 
 
 def long_runs(t, clean=False):
-    return lp.long_run_laps(run_laps(t), RUN, SESSION, t.hot_events, clean)
+    return lp.long_run_laps(run_laps(t), RUN, SESSION, t.hot_laps, clean)
 
 
 def aged(t):
-    return lp.with_age(long_runs(t), RUN, t.hot_events)
+    return lp.with_age(long_runs(t), RUN, t.hot_laps)
 
 
 def paces(t):
-    return lp.run_paces(aged(t), RUN, SESSION, t.hot_events)
+    return lp.run_paces(aged(t), RUN, SESSION, t.hot_laps)
 
 
 def best(t):
-    return lp.best_runs(paces(t), SESSION, t.hot_events)
+    return lp.best_runs(paces(t), SESSION, t.hot_session)
 
 
 @query("F01_long_run_laps", "laps", sql=f"{LONG} SELECT round, session, entrant, stint_number, lap_number, round(lap_s, 6) AS lap_s FROM lr")
@@ -77,13 +78,13 @@ def age(t):
 
 @query("F04_run_slope", "laps", sql=f"{SLOPE} SELECT round, session, entrant, stint_number, round(xy / nullif(xx, 0), 6) AS slope FROM st")
 def run_slope(t):
-    own, _ = lp.slopes(aged(t), RUN, SESSION, t.hot_events)
+    own, _ = lp.slopes(aged(t), RUN, SESSION, t.hot_laps)
     return rounded(own, RUN, "slope")
 
 
 @query("F04_compound_slope", "laps", sql=f"{SLOPE} SELECT round, session, compound, round(comp_slope, 6) AS comp_slope FROM sc")
 def compound_slope(t):
-    _, per = lp.slopes(aged(t), RUN, SESSION, t.hot_events)
+    _, per = lp.slopes(aged(t), RUN, SESSION, t.hot_laps)
     return rounded(per, [*SESSION, "compound"], "comp_slope")
 
 
@@ -92,8 +93,8 @@ def compound_slope(t):
   median(lap_s) OVER (PARTITION BY a.round, a.session, entrant, stint_number) * 0.004) * age, 6) AS lap_s FROM ag a JOIN sc USING (round, session, compound)""")
 def age_adjusted(t):
     d = aged(t)
-    _, per = lp.slopes(d, RUN, SESSION, t.hot_events)
-    return rounded(lp.age_adjusted(d, per, RUN, SESSION, t.hot_events), [*RUN, "lap_number"], "lap_s")
+    _, per = lp.slopes(d, RUN, SESSION, t.hot_laps)
+    return rounded(lp.age_adjusted(d, per, RUN, SESSION, t.hot_laps), [*RUN, "lap_number"], "lap_s")
 
 
 @query("F06_run_pace", "laps",
@@ -138,7 +139,7 @@ tp AS (SELECT round, team, avg(g) AS tg FROM (SELECT round, session, team, min(g
 SELECT round, entrant, team, round(g, 6) AS fp_longrun_gap_pct, round(tg, 6) AS team_longrun_gap_pct FROM l LEFT JOIN e USING (round, entrant) LEFT JOIN tp USING (round, team) WHERE g IS NOT NULL OR tg IS NOT NULL""")
 def practice(t):
     lineup = t.laps.select("round", "entrant", "team").distinct()
-    d = lp.practice_pace(run_laps(t), lineup, WEEKEND, t.hot_events)
+    d = lp.practice_pace(run_laps(t), lineup, WEEKEND, t.hot_laps, hot_session=t.hot_session)
     return rounded(d, ["round", "entrant", "team"], "fp_longrun_gap_pct", "team_longrun_gap_pct")
 
 
@@ -150,7 +151,7 @@ me AS (SELECT round, session, entrant, count(*) AS n_laps, min(lap_s) - max(sb)
 
 @query("F11_session_metrics", "laps", sql=f"{METRICS} SELECT round, session, entrant, n_laps, round(best_gap_s, 8) AS best_gap_s, round(long_run_delta_s, 8) AS long_run_delta_s FROM me")
 def metrics(t):
-    d = lp.session_metrics(run_laps(t), SESSION, t.hot_events)
+    d = lp.session_metrics(run_laps(t), SESSION, t.hot_laps, t.hot_session)
     return d.select(*OWN, "n_laps", *[F.round(c, 8).alias(c) for c in ("best_gap_s", "long_run_delta_s")])
 
 
@@ -158,7 +159,9 @@ def metrics(t):
        sql=f"""{METRICS}, s AS (SELECT round, entrant, max(n_laps) FILTER (session = 'FP1') AS fp1_n_laps, max(n_laps) FILTER (session = 'FP2') AS fp2_n_laps, max(n_laps) FILTER (session = 'FP3') AS fp3_n_laps,
   max(session) AS last_session FROM me GROUP BY 1, 2) SELECT * FROM s""")
 def side_by_side(t):
-    m = lp.session_metrics(run_laps(t), SESSION, t.hot_events).withColumn("day", F.substring("session", 3, 1).cast("int"))
+    m = lp.session_metrics(run_laps(t), SESSION, t.hot_laps, t.hot_session).withColumn("day", F.substring("session", 3, 1).cast("int"))
+    if t.hot_events:  # made once, as every session reads it
+        m = checkpointed(m)
     cols = ["round", "entrant", "n_laps", "day"]
     parts = {f"fp{k}": m.where(F.col("session") == f"FP{k}").select(*cols) for k in (1, 2, 3)}
     d = lp.merge_sessions(parts, ["round", "entrant"], ["n_laps"], "day")
@@ -172,7 +175,7 @@ f AS (SELECT round, session, coalesce(median(mid), median(lap_s)) AS fld FROM h
 e AS (SELECT round, session, entrant, min(lap_s) - max(sb) AS b, coalesce(median(mid), median(lap_s)) AS p FROM h GROUP BY 1, 2, 3)
 SELECT round, session, entrant, round(least(greatest(b, 0), 10), 6) AS sprint_best_gap_s, round(least(greatest(p - fld, -5), 10), 6) AS sprint_pace_delta_s FROM e JOIN f USING (round, session)""")
 def sprint_pace(t):
-    d = lp.sprint_pace(run_laps(t), SESSION, t.hot_events)
+    d = lp.sprint_pace(run_laps(t), SESSION, t.hot_laps, t.hot_session)
     return rounded(d, OWN, "sprint_best_gap_s", "sprint_pace_delta_s")
 
 
