@@ -452,3 +452,16 @@ def test_pipeline(spark):
     pieces = p.pack_stage(spark, docs, SF).collect()
     assert {r.doc_id for r in pieces} == texts
     assert sum(r.length for r in pieces) == sum(len(encoded(t)) + 1 for _, t in text_of(docs))
+
+
+def test_line_words_are_counted_in_all_documents(spark, monkeypatch):
+    from fieldorder.llm import line_dedup
+    from fieldorder.llm.common import digest64
+
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1, raising=False)
+    texts = ["alpha beta\nalpha " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000))] * 3 + ["alpha gamma"] * 5
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    names, counts = line_dedup.frequent_words(df)
+    got = dict(zip(names.tolist(), counts.tolist()))
+    number = lambda w: int.from_bytes(digest64(w), "little")
+    assert len(got) == 6003 and got[number(b"alpha")] == 11 and got[number(b"gamma")] == 5 and got[number(b"waaa")] == 3
