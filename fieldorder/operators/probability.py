@@ -8,13 +8,13 @@ is linear in the rows and combines map-side however large one contest is.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldorder.operators.grouping import join_groups, with_index, with_log_prefix, with_totals
+from fieldorder.operators.grouping import join_groups, settled, with_index, with_log_prefix, with_totals
 
 #: Strongest rows handled one by one in exact third-place sums.
 HEAD = 16
@@ -73,6 +73,34 @@ def top_nll(
     return g.select(*keys, total.alias(out))
 
 
+def top_nll_by_weights(
+    df: DataFrame, keys: Sequence[str], score: Callable[[Column], Column], weights: Sequence[Sequence[float]], place: Column, k: int = 3
+) -> DataFrame:
+    """``top_nll`` of every group at every point of a grid (column weights): ``score`` makes s of the array of weights.
+
+    The product of rows and points is combined map-side, once for the stage maxima and once for the sums; a group's
+    maxima travel as one row, so no copy of a row is shuffled.
+    """
+    grid = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in weights])
+    d = df.withColumn("_p", place)
+    open_at = [F.col("_p").isNull() | (F.col("_p") >= j) | (F.col("_p") < 1) for j in range(1, k + 1)]
+    e = d.select("*", F.posexplode(grid).alias("_i", "weights")).withColumn("_s", score(F.col("weights")))
+    tops = e.groupBy(*keys, "_i").agg(*[F.max(F.when(o, F.col("_s"))).alias(f"m{j}") for j, o in enumerate(open_at)])
+    tops = tops.groupBy(*keys).agg(F.collect_list(F.struct("_i", *[f"m{j}" for j in range(k)])).alias("_tops"))
+    e = join_groups(d, settled(tops), keys).withColumn("_t", F.explode("_tops"))
+    e = e.withColumn("weights", F.element_at(grid, F.col("_t._i") + 1)).withColumn("_s", score(F.col("weights")))
+    aggs = []
+    for j, o in enumerate(open_at):
+        z = F.col("_s") - F.col(f"_t.m{j}")
+        here = F.col("_p") == j + 1
+        aggs += [F.sum(F.when(o, F.exp(z))).alias(f"_w{j}"), F.max(F.when(here, z)).alias(f"_z{j}"), F.count_if(here).alias(f"_n{j}")]
+    g = e.groupBy(*keys, "weights").agg(*aggs)
+    for j in range(k):
+        g = g.where(F.col(f"_n{j}") > 0)
+    total = sum((F.log(f"_w{j}") - F.col(f"_z{j}") for j in range(1, k)), F.log("_w0") - F.col("_z0"))
+    return g.select(*keys, "weights", total.alias("nll"))
+
+
 def nll_by_temperature(
     df: DataFrame, keys: Sequence[str], pred: Column, place: Column, grid: Sequence[float], hot: bool | None
 ) -> DataFrame:

@@ -129,3 +129,20 @@ def test_subset_draws_only_what_counts(spark):
     assert abs(d.first()["nll"] - -(sum(map(math.log, q[:3])) + math.log(total / 50))) < 1e-12
     plan = d._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("md5") < plan.index("_rows")  # the filter on strength lies below the draws
+
+
+def test_grid_of_weights_moves_no_copies(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(a), float(b), p) for g in (1, 2, 3) for p, a, b in zip([1, 2, 3, None, 5, 6], rng.normal(0, 3, 6), rng.normal(0, 3, 6))]
+    rows += [(4, 1.0, 2.0, 1), (4, 2.0, 1.0, 3)]  # no second place
+    df = spark.createDataFrame(rows, "g int, a double, b double, p int")
+    pairs = [(0.0, 1.0), (0.5, 0.25), (40.0, 900.0)]
+    d = pr.top_nll_by_weights(df, ["g"], lambda w: w[0] * F.col("a") + w[1] * F.col("b"), pairs, F.col("p"))
+    assert "Window" not in d._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["g"], tuple(r["weights"])): r["nll"] for r in d.collect()}
+    want = {}
+    for w in pairs:
+        for r in pr.top_nll(df, ["g"], w[0] * F.col("a") + w[1] * F.col("b"), F.col("p"), 3, False).collect():
+            want[r["g"], w] = r["nll"]
+    assert got.keys() == want.keys() and len(got) == 9
+    assert all(abs(got[k] - want[k]) <= 1e-12 * max(1.0, abs(want[k])) for k in got)
