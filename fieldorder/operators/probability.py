@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fieldorder.operators.grouping import join_groups, settled, with_index, with_log_prefix, with_totals
@@ -26,6 +29,8 @@ POINTS = 14
 LOST = 2.0**-56
 #: Beyond this distance the logistic curve is 0 or 1 in double precision.
 FAR = 40
+#: Cells that one task turns into polynomials at a time.
+BLOCK = 1024
 
 
 def softmax(df: DataFrame, keys: Sequence[str], s: Column, out: str, hot: bool | None) -> DataFrame:
@@ -207,15 +212,45 @@ def place_probabilities(
     return d.drop("_n", "_p", "_v", "_u", "_a", "_k", "_sumA", "_head", "_R", "_T", *gone)
 
 
+def _rivals_near(keys: Sequence[str]) -> Callable[[pa.Table], pa.Table]:
+    """Per cell of a block: Chebyshev coefficients, over the cell, of the sum over the rivals of all cells within FAR.
+
+    ``_q`` holds a cell's moments. They give weights at POINTS interpolation points that reproduce the smooth curve to
+    rounding error; distances between points of two cells depend on how far the cells are apart alone.
+    """
+    theta = (2 * np.arange(POINTS) + 1) * np.pi / (2 * POINTS)
+    basis = np.cos(np.outer(theta, np.arange(POINTS))) * (2.0 / POINTS)
+    basis[:, 0] /= 2
+    at = 0.5 + 0.5 * np.cos(theta)
+    apart = np.arange(-FAR, FAR + 1)[:, None] + at  # points of the cells near by
+    curve = 1.0 / (1.0 + np.exp(at[None, None, :] - apart[:, :, None]))
+    # a cell's points in a row: (cells near by * points, coefficients)
+    table = curve.reshape(-1, POINTS) @ basis
+
+    def run(t: pa.Table) -> pa.Table:
+        block, cell = t.column("_block")[0].as_py(), t.column("_cell").to_numpy()
+        first = block * BLOCK - FAR
+        weights = np.zeros((BLOCK + 2 * FAR, POINTS))
+        q = t.column("_q").combine_chunks()
+        weights[cell - first] = q.flatten().to_numpy(zero_copy_only=False).reshape(-1, POINTS) @ basis.T
+        own = np.flatnonzero(cell // BLOCK == block)
+        near = np.lib.stride_tricks.sliding_window_view(weights, 2 * FAR + 1, axis=0)[cell[own] - first - FAR]
+        c = near.transpose(0, 2, 1).reshape(len(own), len(table)) @ table
+        out = t.select([*keys, "_cell", "_above"]).take(pa.array(own))
+        offsets = pa.array(np.arange(0, POINTS * len(own) + 1, POINTS, dtype=np.int32))
+        return out.append_column("_c", pa.ListArray.from_arrays(offsets, pa.array(c.ravel())))
+
+    return run
+
+
 def logistic_sums(
     df: DataFrame, keys: Sequence[str], x: Column, weight: Column, out: str
 ) -> DataFrame:
     """sum over rivals k of weight_k / (1 + exp(x_i - x_k)), without pairing rows.
 
-    The x axis is cut into unit cells. A cell is summarised by Chebyshev moments of its rows, which
-    are plain sums; from them follow weights at POINTS interpolation points that reproduce the
-    smooth curve to rounding error. A row then meets the points of cells within FAR and one total
-    for the cells beyond, however many rivals those hold.
+    The x axis is cut into unit cells. A cell is summarised by Chebyshev moments of its rows, which are plain sums.
+    Blocks of cells, with those within FAR of them, turn the moments into one polynomial a cell for the rivals near by;
+    a row meets its cell's polynomial and one total for the cells beyond, however many rivals those hold.
     """
     d = df.withColumn("_x", x.cast("double")).withColumn("_wt", weight.cast("double"))
     d = d.withColumn("_cell", F.floor("_x"))
@@ -229,27 +264,21 @@ def logistic_sums(
             *[F.sum(F.col("_wt") * F.cos(angle * r)).alias(f"_q{r}") for r in range(1, POINTS)],
         )
     )
-    points = []
-    for k in range(POINTS):
-        theta = (2 * k + 1) * math.pi / (2 * POINTS)
-        w = F.col("_q0") / POINTS
-        for r in range(1, POINTS):
-            w = w + F.col(f"_q{r}") * (2.0 / POINTS * math.cos(r * theta))
-        at = F.col("_cell") + 0.5 + 0.5 * math.cos(theta)
-        points.append(F.struct(at.alias("at"), w.alias("w")))
-    w = Window.partitionBy(*keys).orderBy("_cell")
-    cells = moments.withColumn("_pts", F.array(*points)).select(
+    # from above: a frame up to the end of the group is gone through anew for every row
+    w = Window.partitionBy(*keys).orderBy("_down").rangeBetween(Window.unboundedPreceding, -(FAR + 1))
+    cells = moments.withColumn("_down", -F.col("_cell")).select(
         *keys,
         "_cell",
-        F.flatten(F.collect_list("_pts").over(w.rangeBetween(-FAR, FAR))).alias("_near"),
-        F.coalesce(F.sum("_q0").over(w.rangeBetween(FAR + 1, Window.unboundedFollowing)), F.lit(0.0)).alias("_above"),
-    )
-    d = join_groups(d, cells, [*keys, "_cell"])
-    near = F.aggregate(
-        "_near", F.lit(0.0), lambda acc, p: acc + p["w"] / (1.0 + F.exp(F.col("_x") - p["at"]))
+        F.array(*[f"_q{r}" for r in range(POINTS)]).alias("_q"),
+        F.coalesce(F.sum("_q0").over(w), F.lit(0.0)).alias("_above"),
     )
+    meets = F.array_distinct(F.array(*[F.floor((F.col("_cell") + side) / BLOCK) for side in (-FAR, FAR)]))
+    blocks = cells.withColumn("_block", F.explode(meets)).groupBy(*keys, "_block")
+    schema = T.StructType([*[moments.schema[k] for k in keys], *T.StructType.fromDDL("_cell long, _above double, _c array<double>")])
+    d = join_groups(d, blocks.applyInArrow(_rivals_near(keys), schema), [*keys, "_cell"])
+    near = sum((F.col("_c")[r] * F.cos(angle * r) for r in range(1, POINTS)), F.col("_c")[0])
     value = F.col("_above") + near - 0.5 * F.col("_wt")
-    return d.withColumn(out, value).drop("_x", "_wt", "_cell", "_near", "_above")
+    return d.withColumn(out, value).drop("_x", "_wt", "_cell", "_above", "_c")
 
 
 def expected_position(df: DataFrame, keys: Sequence[str], s: Column, out: str) -> DataFrame:

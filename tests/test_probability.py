@@ -57,6 +57,22 @@ def test_logistic_sums_match_pairs(spark):
             assert abs(got[(g, i)] - want) < 1e-10, (g, i)
 
 
+def test_logistic_sums_of_a_wide_field(spark):
+    """Cells on both sides of a block's end meet, sums are weighted, and no row carries its rivals' points."""
+    rng = np.random.default_rng(2)
+    edge = float(pr.BLOCK)
+    s = np.concatenate([rng.uniform(edge - 60, edge + 60, 150), rng.uniform(-edge - 60, -edge + 60, 100), [5 * edge, -3 * edge]])
+    rows = [(g, i, float(v), 1.0 + i % 3) for g in (None, 1) for i, v in enumerate(s)]
+    d = pr.logistic_sums(spark.createDataFrame(rows, "g int, who bigint, s double, w double"), ["g"], F.col("s"), F.col("w"), "out")
+    got = {(r["g"], r["who"]): r["out"] for r in d.collect()}
+    w = 1.0 + np.arange(len(s)) % 3
+    want = (w / (1 + np.exp(np.clip(s[:, None] - s, -700, 700)))).sum(1) - 0.5 * w
+    assert np.allclose([got[(1, i)] for i in range(len(s))], want, atol=1e-9)
+    assert np.allclose([got[(None, i)] for i in range(len(s))], want, atol=1e-9)
+    plan = d._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "collect_list" not in plan and "unboundedfollowing" not in plan
+
+
 def test_top_nll_survives_a_dominant_row(spark):
     df = spark.createDataFrame([(1, 0, 900.0, 1), (1, 1, 1.0, 2), (1, 2, 0.5, 3), (1, 3, 0.0, None)], "g int, who bigint, s double, p int")
     got = pr.top_nll(df, ["g"], F.col("s"), F.col("p"), 3, False).first()["nll"]
