@@ -10,6 +10,7 @@ from fieldorder.plans.venues import venue_name
 
 
 def inputs(t) -> Inputs:
+    t.settle_results()
     r = t.results.withColumn("venue_key", venue_name(F.col("venue")))
     w = t.weather.select(
         "year", "round", (F.col("precip_tenths_mm") / 10.0).alias("precip_mm_total"), F.col("temp_c").cast("double").alias("temp_c_mean"),

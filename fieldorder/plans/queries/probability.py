@@ -135,6 +135,7 @@ def expected_from_table(t):
        sql=f"""{GRID} SELECT a.year, a.round, a.entrant, round(1 + sum(1 / (1 + exp((b.pred - a.pred) / 9.0))), 6) AS expected_position
 FROM gs a JOIN gs b ON a.year = b.year AND a.round = b.round AND a.entrant <> b.entrant GROUP BY 1, 2, 3""")
 def expected(t):
+    t.settle_results()
     return rounded(pr.expected_position(scored(t), RACE, -F.col("pred") / 9.0, "expected_position"), KEY, "expected_position")
 
 

@@ -67,6 +67,7 @@ SELECT round(avg(hit), 6) AS winner_accuracy, round(avg(o) / 3, 6) AS podium_acc
   round(avg(ghit), 6) AS pole_accuracy, round(avg(go) / 3, 6) AS grid_podium_accuracy, avg(hit) > avg(ghit) AND avg(o) > avg(go) AS beats_baselines, count(*) AS n_contests
 FROM c LEFT JOIN sp USING (year, round) LEFT JOIN ma USING (year, round)""")
 def summary(t):
+    t.settle_results()
     d = probs(t)
     s = sizes(t)
     hot = t.hot_contest
@@ -516,6 +517,7 @@ def condition_rows(t):
 SELECT condition, round(avg(x) FILTER (fail), 4) AS worst_mean, round(avg(x) FILTER (NOT fail), 4) AS rest_mean,
   CASE WHEN isfinite(corr(rx, ra)) THEN round(corr(rx, ra), 4) END AS rho FROM rk GROUP BY 1""")
 def all_conditions(t):
+    t.settle_results()
     d = fl.contest_conditions(condition_rows(t), t.hot_contest).join(losses(t).select(*RACE, "a"), RACE)
     d = sc.failure_conditions(d, "a", [*fl.BEFORE, *fl.AFTER])
     # means of features that have six places meet halves at six places, where the order of a sum would decide
