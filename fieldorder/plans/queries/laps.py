@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldorder.operators import laps as lp
-from fieldorder.operators.grouping import checkpointed
+from fieldorder.operators.grouping import checkpointed, kept
 from fieldorder.plans.queries.history import KEY, rounded
 from fieldorder.plans.registry import query
 
@@ -50,8 +50,13 @@ def aged(t):
     return lp.with_age(long_runs(t), RUN, t.hot_laps)
 
 
+def aged_once(t):
+    """Aged laps, made once where the event table is large: slopes and paces read them several times."""
+    return kept(aged(t)) if t.hot_events else aged(t)
+
+
 def paces(t):
-    return lp.run_paces(aged(t), RUN, SESSION, t.hot_laps)
+    return lp.run_paces(aged_once(t), RUN, SESSION, t.hot_laps)
 
 
 def best(t):
@@ -84,7 +89,7 @@ def run_slope(t):
 
 @query("F04_compound_slope", "laps", sql=f"{SLOPE} SELECT round, session, compound, round(comp_slope, 6) AS comp_slope FROM sc")
 def compound_slope(t):
-    _, per = lp.slopes(aged(t), RUN, SESSION, t.hot_laps)
+    _, per = lp.slopes(aged_once(t), RUN, SESSION, t.hot_laps)
     return rounded(per, [*SESSION, "compound"], "comp_slope")
 
 
@@ -92,7 +97,7 @@ def compound_slope(t):
        sql=f"""{SLOPE} SELECT a.round, a.session, entrant, stint_number, lap_number, round(lap_s - least(greatest(coalesce(comp_slope, 0), 0),
   median(lap_s) OVER (PARTITION BY a.round, a.session, entrant, stint_number) * 0.004) * age, 6) AS lap_s FROM ag a JOIN sc USING (round, session, compound)""")
 def age_adjusted(t):
-    d = aged(t)
+    d = aged_once(t)
     _, per = lp.slopes(d, RUN, SESSION, t.hot_laps)
     return rounded(lp.age_adjusted(d, per, RUN, SESSION, t.hot_laps), [*RUN, "lap_number"], "lap_s")
 
