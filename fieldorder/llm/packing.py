@@ -9,6 +9,7 @@ the largest that still fits. Shorter pieces, longest first, go to the sequence w
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldorder.llm.common import map_rows, partitions, written
-from fieldorder.llm.tokens import token_ids
+from fieldorder.llm.tokens import ids_of, tokenizer_file
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -138,24 +139,25 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return map_rows(p, rows, ["length", "_at"], pieces.columns, "sequence_id long, offset long")
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids: each document's ids with the end mark, cut only above the capacity.
+def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids: each document's ids with the end mark, cut only above the capacity.
 
-    A null or empty text is the end mark alone.
+    A null or empty text is the end mark alone. One call of Python per task: ids never pass through another, and stay
+    in it unless ``ids`` asks for them.
     """
+    file = tokenizer_file(docs.sparkSession, path)
 
     def rows(part):
         step = 4 * capacity
-        for i, (ids,) in enumerate(part):
-            for k, at in enumerate(range(0, len(ids), step)):
-                x = ids[at : at + step]
-                yield i, k, at // 4, len(x) // 4, x
+        for i, x in ids_of(file, part, end):
+            for k, at in enumerate(range(0, len(x), step)):
+                piece = x[at : at + step]
+                yield i, k, at // 4, len(piece) // 4, crc32(piece), *([piece] if ids else [])
 
-    whole = token_ids(docs, path, end)
-    return map_rows(whole, rows, ["ids"], ["doc_id"], "piece int, start long, length long, ids binary")
+    out = "piece int, start long, length long, ids_crc32 long"
+    return map_rows(docs, rows, ["text"], ["doc_id"], f"{out}, ids binary" if ids else out)
 
 
 def packed(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, ids: bool = False) -> DataFrame:
-    """Pack whole documents: token_pieces with ids_crc32 (and ids, if asked for), sequence_id and offset."""
-    p = token_pieces(docs, path, capacity, end).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(written(p if ids else p.drop("ids"), "pieces"), capacity)
+    """Pack whole documents: token_pieces (with ids, if asked for), sequence_id and offset."""
+    return pack(written(token_pieces(docs, path, capacity, end, ids), "pieces"), capacity)

@@ -43,6 +43,11 @@ class WholeTexts:
         return [np.array(x, "<u4").tobytes() for x in self.model.encode(texts, num_threads=1)]
 
 
+def latin(text: str) -> bool:
+    """Whether a text has no character above U+00FF, so that lower case is made character by character."""
+    return text.isascii() or max(text) < "Ā"
+
+
 class WordMemo:
     """tokenizers files: words by memo where white space is dropped between words, else whole texts."""
 
@@ -51,6 +56,7 @@ class WordMemo:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tok = Tokenizer.from_str(blob.decode())
         config = json.loads(blob)
@@ -62,6 +68,9 @@ class WordMemo:
             self.final = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a word
             end = config["model"]["end_of_word_suffix"]
             self.final[[i for t, i in self.tok.get_vocab().items() if t.endswith(end)]] = True
+            # for lower-case parts that are split already: the same model without normalizer and pattern
+            self.bare = Tokenizer(self.tok.model)
+            self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -74,7 +83,7 @@ class WordMemo:
         out: list[bytes] = []
         for at in range(0, len(pieces), 2000):
             some = pieces[at : at + 2000]
-            ids = np.frombuffer(self.library([" ".join(some)])[0], "<u4")
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.final[ids]) + 1
             if len(ends) != len(some):
                 out += self.library(some)
@@ -91,28 +100,35 @@ class WordMemo:
         """Put words into the memo; many words share parts between letters and signs."""
         if len(self.pieces) > MEMO:
             self.pieces.clear()
-        latin, others = [], []
+        plain, others = [], []
         for w in words:
-            (latin if w.isascii() or max(w) < "Ā" else others).append(w)
+            (plain if latin(w) else others).append(w)
         self.words.update(zip(others, self.library(others)))
-        parts = {w: self.split(w.lower()) for w in latin}
+        parts = {w: self.split(w.lower()) for w in plain}
         new = list({p for ps in parts.values() for p in ps if p not in self.pieces})
         self.pieces.update(zip(new, self.together(new)))
         get = self.pieces.__getitem__
         self.words.update({w: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for w, ps in parts.items()})
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if self.plain(t) else None for t in texts]
+        # Latin texts in lower case, as the library makes them: fewer words to learn
+        split = [(t.lower() if latin(t) else t).split() if self.plain(t) else None for t in texts]
         if len(self.words) > WORDS // 2:  # words in use come back from the older half, the others are forgotten
             self.before, self.words = self.words, {}
         memo, before = self.words, self.before
-        missing = {w for ws in split if ws for w in ws if w not in memo}
+        found = [None if ws is None else list(map(memo.get, ws)) for ws in split]
+        missing = {w for ws, got in zip(split, found) if ws and None in got for w, x in zip(ws, got) if x is None}
         known = missing & before.keys()
         memo.update({w: before[w] for w in known})
         if len(known) < len(missing):
             self.learn(list(missing - known))
         get = memo.__getitem__
-        return [self.library([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
+        out = []
+        for t, ws, got in zip(texts, split, found):
+            if ws is not None and None in got:
+                got = [get(w) if x is None else x for w, x in zip(ws, got)]
+            out.append(self.library([t])[0] if ws is None else b"".join(got))
+        return out
 
 
 _ENCODERS: dict[int, WordMemo | WholeTexts] = {}
@@ -146,17 +162,18 @@ def rounds(texts: list[str]):
         yield at, len(texts)
 
 
-def token_ids(docs: DataFrame, path: str, end: int | None = None) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit), ``end`` appended to each; null text counts as empty."""
-    file = tokenizer_file(docs.sparkSession, path)
+def ids_of(file: Broadcast, part: list[tuple], end: int | None = None):
+    """(row number, ids) of rows with a text: little-endian unsigned 32-bit, ``end`` appended; null counts as empty."""
     last = b"" if end is None else np.array([end], "<u4").tobytes()
+    enc, texts = encoder(file), [t or "" for (t,) in part]
+    for a, b in rounds(texts):
+        yield from ((a + i, x + last) for i, x in enumerate(enc.ids(texts[a:b])))
 
-    def rows(part):
-        enc, texts = encoder(file), [t or "" for (t,) in part]
-        for a, b in rounds(texts):
-            yield from ((a + i, x + last) for i, x in enumerate(enc.ids(texts[a:b])))
 
-    return map_rows(docs, rows, ["text"], ["doc_id"], "ids binary")
+def token_ids(docs: DataFrame, path: str, end: int | None = None) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit), ``end`` appended to each; null text counts as empty."""
+    file = tokenizer_file(docs.sparkSession, path)
+    return map_rows(docs, lambda part: ids_of(file, part, end), ["text"], ["doc_id"], "ids binary")
 
 
 # ---- token counts

@@ -465,3 +465,27 @@ def test_line_words_are_counted_in_all_documents(spark, monkeypatch):
     got = dict(zip(names.tolist(), counts.tolist()))
     number = lambda w: int.from_bytes(digest64(w), "little")
     assert len(got) == 6003 and got[number(b"alpha")] == 11 and got[number(b"gamma")] == 5 and got[number(b"waaa")] == 3
+
+
+def test_a_task_calls_python_once_for_its_pieces_and_once_for_its_words(spark, docs, monkeypatch):
+    """Two Python maps in one stage hold two workers a core, each with its own memo."""
+    maps = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    assert maps(packing.token_pieces(docs, PATH)) == 1
+    from fieldorder.llm import line_dedup
+
+    kind, made = type(docs), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow, **b: made.append(f(self, *a, **b)) or made[-1])
+    names, counts = line_dedup.frequent_words(docs)
+    assert len(names) == len(counts) > 0 and [maps(d) for d in made] == [1]
+
+
+def test_latin_texts_are_learned_in_lower_case():
+    from fieldorder.llm import tokens
+
+    with open(PATH, "rb") as f:
+        memo = tokens.WordMemo(f.read())
+    texts = ["Word WORD word It's IT'S", "ÀÉ ßÄ µ Ÿ", "É Σ ΣΑΣ Word", "<|ENDOFTEXT|> x1y22 &&&a", "", "a\xa0B", "Word <|endoftext|> WORD"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids(texts[:1])] == [encoded(texts[0])]
+    assert set(memo.words) == {"word", "it's"}
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids(texts)] == [encoded(t) for t in texts]
