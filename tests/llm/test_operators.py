@@ -489,3 +489,13 @@ def test_latin_texts_are_learned_in_lower_case():
     assert set(memo.words) == {"word", "it's"}
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in memo.ids(texts)] == [encoded(t) for t in texts]
+
+
+def test_shuffle_files_of_word_counts_go_before_keys_are_packed(spark, docs, monkeypatch):
+    from fieldorder.llm import line_dedup
+
+    did = []
+    monkeypatch.setattr(line_dedup, "frequent_words", lambda d, f=line_dedup.frequent_words: (did.append("counted"), f(d))[1])
+    monkeypatch.setattr(line_dedup, "released", lambda *a, f=line_dedup.released: (did.append("released"), f(*a)))
+    line_dedup.packed_keys(docs, 80, 16, 4)
+    assert did == ["counted", "released"]
