@@ -499,3 +499,41 @@ def test_shuffle_files_of_word_counts_go_before_keys_are_packed(spark, docs, mon
     monkeypatch.setattr(line_dedup, "released", lambda *a, f=line_dedup.released: (did.append("released"), f(*a)))
     line_dedup.packed_keys(docs, 80, 16, 4)
     assert did == ["counted", "released"]
+
+
+@pytest.mark.parametrize("percent", [80, 60, 100])
+def test_lines_of_similar_lengths_share_a_part_of_their_key(spark, percent):
+    d = spark.range(1, 300).selectExpr("7L AS key", "id", "CAST(id AS int) AS words")
+    parts = {}
+    for x in line_dedup.by_length(d, percent).collect():
+        parts.setdefault(x.id, set()).add(x.key)
+    assert all(parts[n] & parts[m] for m in range(1, 300) for n in range(-(-percent * m // 100), m + 1))
+    assert not parts[10] & parts[200] and sum(map(len, parts.values())) <= 2 * 299
+
+
+def test_near_copies_of_a_line_meet_a_few_times_each(spark, words, monkeypatch):
+    r = random.Random(12)
+    base = [r.choice(words) for _ in range(60)]
+    lines = [base]
+    for _ in range(240):  # near copies of the line, and of its beginnings and ends
+        x = base[:]
+        for k in r.sample(range(60), 6):
+            x[k] = r.choice(words)
+        at = r.choice([60, 60, 60, 40, 30, 20])
+        lines.append(x[:at] if r.random() < 0.5 else x[-at:])
+    split = [" ".join(x).encode().split() for x in lines]
+    group = list(range(len(split)))
+    pairs = [(i, j) for j in range(len(split)) for i in range(j) if line_dedup.alike(split[i], split[j], 80)]
+    for _ in split:
+        before = list(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if group == before:
+            break
+    kind, met = type(spark.range(1)), []
+    monkeypatch.setattr(kind, "distinct", lambda self, f=kind.distinct: met.append(self.count() if self.columns == ["a", "b"] else 0) or f(self))
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    kept = {x.doc_id for x in line_dedup.dedup_lines(d).collect() if x.text}
+    assert kept == set(group)
+    # one round of pivots connects nearly all; what is still open meets less than once a line
+    assert [n for n in met if n][-1] < len(lines) < len(pairs)
