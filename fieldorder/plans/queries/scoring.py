@@ -578,12 +578,9 @@ c AS (SELECT value, scale, year, round, sum(ll) AS ll FROM l GROUP BY ALL HAVING
 SELECT value, round(scale, 6) AS scale, round(ll, 6) AS order_ll FROM g QUALIFY row_number() OVER (PARTITION BY value ORDER BY ll DESC, scale) = 1""")
 def combination(t):
     """Per weight of two scores the scale at which the whole finishing order is likeliest, and its mean log-likelihood."""
-    d = scored(t).where(F.col("finish_position").isNotNull())
-    d = jn.with_parameter(jn.with_parameter(d, "value", WEIGHTS), "scale", SCALES)
-    s = -(F.col("value") * F.col("pred") + (1 - F.col("value")) * F.col("mpred")) * F.col("scale")
-    keys = ["value", "scale", *RACE]
-    per = pr.order_gradient(d, keys, s, F.col("finish_position"), t.hot_contest).groupBy(*keys)
-    per = per.agg(F.sum("order_ll").alias("ll"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    per = pr.order_ll_by_blend(
+        scored(t), RACE, (F.col("pred"), F.col("mpred")), WEIGHTS, SCALES, F.col("finish_position"), t.hot_contest
+    ).where("n >= 2")
     mean = per.groupBy("value", "scale").agg(F.avg("ll").alias("ll"))
     best = mean.groupBy("value").agg(F.min(F.struct((-F.col("ll")).alias("loss"), "scale")).alias("b"))
     return best.select("value", F.round("b.scale", 6).alias("scale"), F.round(-F.col("b.loss"), 6).alias("order_ll"))

@@ -162,3 +162,26 @@ def test_grid_of_weights_moves_no_copies(spark):
             want[r["g"], w] = r["nll"]
     assert got.keys() == want.keys() and len(got) == 9
     assert all(abs(got[k] - want[k]) <= 1e-12 * max(1.0, abs(want[k])) for k in got)
+
+
+def test_order_likelihood_of_blends(spark):
+    """Every weight and scale of two scores, with a shared place, a row without a score and scores far apart; rows are not multiplied."""
+    rows = [(1, 1, 2.0, 5.0), (1, 2, 1.0, 9.0), (1, 4, 6000.0, 7.0), (1, 4, 3.0, 3.0), (1, 5, None, 4.0), (1, 6, 4.0, 90000.0), (1, None, 1.0, 1.0),
+            (2, 1, 3.0, 1.0), (2, 2, 1.0, None), (None, 2, 1.0, 2.0), (None, 1, 4.0, 2.0), (3, 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, p int, a double, b double")
+    values, scales = [0.0, 0.3, 1.0], [0.5, 2.0]
+
+    def found(hot):
+        d = pr.order_ll_by_blend(df, ["g"], (F.col("a"), F.col("b")), values, scales, F.col("p"), hot)
+        assert hot or "Generate" not in d._jdf.queryExecution().optimizedPlan().toString()
+        return {(r["g"], r["value"], r["scale"]): (r["ll"], r["n"]) for r in d.collect()}
+
+    got, split = found(False), found(True)
+    assert got.keys() == split.keys() and len(got) == 4 * 6
+    for (g, v, c), (ll, n) in got.items():
+        x = [(p, -(v * a + (1 - v) * b) * c) for i, p, a, b in rows if i == g and p is not None and a is not None and b is not None]
+        x.sort(key=lambda r: (r[0], -r[1]))
+        last = max(p for i, p, *_ in rows if i == g and p is not None)
+        want = sum(s - np.logaddexp.reduce([z for _, z in x[k:]]) for k, (p, s) in enumerate(x) if p < last)
+        assert abs(ll - want) < 1e-9 * max(1, abs(want)) and abs(split[g, v, c][0] - want) < 1e-9 * max(1, abs(want))
+        assert n == split[g, v, c][1] == sum(1 for i, p, *_ in rows if i == g and p is not None)
